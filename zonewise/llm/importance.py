@@ -2,8 +2,10 @@
 
 Two generative models over hashed n-grams: the target, from labelled good texts,
 and the raw text, from all documents. A document's importance weight is the ratio
-of its probabilities under them; Gumbel noise added to the logarithm of the weight
-makes a top-k pick a sample without replacement.
+of its probabilities under them, tempered to a text of ``LENGTH`` n-grams: else a
+share of a language that is a few percent off would decide every long text.
+Gumbel noise added to the logarithm of the weight makes a top-k pick a sample
+without replacement.
 
 N-grams are words, word pairs and word endings of three bytes. A word repeated at
 once counts as one "repeat" pair whatever the word. Each bucket's ratio is
@@ -14,8 +16,8 @@ The raw counts cover every document; the target is a sample of at most
 ``max_labels`` labelled rows, those with the least hash of their doc_id. The model
 has 2 ** ``bits`` buckets whatever the input, and this alone is sent to the workers.
 
-k is by default the number of documents that the target model finds at least as
-likely as the raw one does. The k-th largest key is found by histograms of 1,024
+k is by default the number of documents whose weight is at least exp(-MARGIN):
+junk lies far below, and the target's own documents near 1. The k-th largest key is found by histograms of 1,024
 bins, each within a bin of the last, so no ranking is gathered anywhere.
 
 Defined cases: null or blank texts have weight 1 (log 0); rows with equal ids and
@@ -38,7 +40,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import as_bytes, cut_lineage, map_batches
 
-BITS, MAX_LABELS, PRIOR, SEED = 18, 50_000, 400.0, 11
+BITS, MAX_LABELS, PRIOR, SEED = 18, 50_000, 20.0, 11
+#: Weights are those of a text of so many n-grams; one is rejected below exp(-MARGIN).
+LENGTH, MARGIN = 100, 20.0
 #: Words whose n-grams are hashed at once.
 CHUNK = 1 << 16
 #: Keys are compared in steps of 2 ** -20.
@@ -103,7 +107,13 @@ def weigh(docs: DataFrame, ratios: np.ndarray, name: str, text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).cast(pa.binary())
-            total = [float(sum(sent.value[p].sum(dtype=np.float64) for p in buckets(x.as_py(), bits))) for x in texts]
+            total = []
+            for x in texts:
+                score, n = 0.0, 0
+                for part in buckets(x.as_py(), bits):
+                    score += float(sent.value[part].sum(dtype=np.float64))
+                    n += part.size
+                total.append(LENGTH * score / max(n, 1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total, pa.float64())], names=[*batch.schema.names, name])
 
     return map_batches(docs, run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
@@ -149,7 +159,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
 
 
 def _threshold(rows: DataFrame, k: int | None) -> int | None:
-    k = rows.where("log_weight >= 0").count() if k is None else k
+    k = rows.where(F.col("log_weight") >= -MARGIN).count() if k is None else k
     return kth_largest(rows.select(F.floor(F.col("gumbel_key") * STEP).alias("q")), k)
 
 
