@@ -31,7 +31,7 @@ from .common import cut_lineage
 WEIGHTS, REPEAT, SHARE = (5, 2, 1), 3, 1.0
 #: Weight against progress, by source in turn: level, early, late.
 SCHEDULES = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
-BUCKET_ROWS = 10_000
+BUCKET_ROWS = 1_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
