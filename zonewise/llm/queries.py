@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, importance, mixing, pii, simhash
+from . import chat, decontaminate, html, importance, language, licenses, mixing, pii, rules, simhash
 from .common import read
 
 
@@ -14,6 +14,26 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("positions")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(read(spark, sf_dir, "conversations"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(read(spark, sf_dir, "pages"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
@@ -30,4 +50,4 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("longest")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op7_pii, op8_quality_classifier, op9_simhash, op10_decontaminate)} | {"pipeline": corpus_pipeline.run}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_chat_format, op3_quality_rules, op4_html_extraction, op5_license_scan, op6_language_id, op7_pii, op8_quality_classifier, op9_simhash, op10_decontaminate)} | {"pipeline": corpus_pipeline.run}
