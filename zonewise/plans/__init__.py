@@ -1 +1 @@
-"""Part of zonewise."""
+"""Plans over whole decrees, and the inputs of the registered queries."""
