@@ -9,6 +9,7 @@ from ..functions import houses as H
 from ..functions import patterns as P
 from ..functions import text as T
 from ..functions.replies import parse_decree
+from ..runtime import cut_lineage
 
 
 def merge_fallback(model_rules: DataFrame, text_rules: DataFrame) -> DataFrame:
@@ -92,9 +93,10 @@ def with_ids(df: DataFrame, start: int, *order: str) -> DataFrame:
     """df with consecutive ids above ``start`` in the given order.
 
     Rows are range-partitioned and numbered within partitions; only one count per
-    partition is gathered, so no task sees all rows.
+    partition is gathered, so no task sees all rows. The partitioned rows are
+    written once: a second evaluation could deal them out differently.
     """
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    rows = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
     rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = rows.groupBy("_part").agg(F.count("*").alias("n"))
     before = sizes.select(F.col("_part").alias("_p"), (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))

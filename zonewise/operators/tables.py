@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as T
 from ..functions.houses import houses_to_rules
+from ..runtime import ship
 
 ORDER = ("page", "table_ix", "row_ix")
 
@@ -74,6 +75,7 @@ def process_tables(raw: DataFrame) -> DataFrame:
     Cells are judged in the JVM; only the fold, where each row depends on the
     record so far, runs in Python, one table at a time.
     """
+    ship(raw.sparkSession)
     keys = ["doc_id", "engine", "setting", "page", "table_ix"]
     school_at = F.array_position(F.transform("cells", T.is_school_cell), F.lit(True)).cast("int") - 1
     others = F.filter("cells", lambda c, i: (i != F.col("_at")) & T.is_territory(c))

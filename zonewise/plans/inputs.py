@@ -87,5 +87,5 @@ def raw_rules(v: Views) -> DataFrame:
 def gazetteer(v: Views) -> DataFrame:
     """Answers for two of three streets; some under another name, some without a street."""
     names = v.table("part").select("p_name").distinct()
-    n = F.crc32(F.col("p_name").cast("binary"))
+    n = F.length("p_name")
     return names.where(n % 3 != 0).select(F.col("p_name").alias("query"), text("г X, ", F.col("p_name")).alias("value"), F.when(n % 3 == 1, F.when(n % 2 == 0, text("ул ", F.col("p_name"))).otherwise(text(F.col("p_name"), " новая"))).alias("street"))

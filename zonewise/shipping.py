@@ -1,29 +1,3 @@
-"""Makes this package importable in the Python workers."""
+"""Kept for imports by the old name."""
 
-from __future__ import annotations
-
-import os
-import tempfile
-import zipfile
-from pathlib import Path
-
-from pyspark.sql import SparkSession
-
-_sent: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Hand the package to the executors once per application, through Spark's own file server.
-
-    Executors may start in any folder, so they can't be expected to find the
-    sources by themselves.
-    """
-    if (app := spark.sparkContext.applicationId) in _sent:
-        return
-    root = Path(__file__).resolve().parent
-    path = Path(os.path.realpath(tempfile.mkdtemp())) / f"{root.name}.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    spark.sparkContext.addPyFile(str(path))
-    _sent.add(app)
+from .runtime import ship  # noqa: F401
