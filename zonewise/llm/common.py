@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..runtime import cut_lineage, shared_folder, ship  # noqa: F401
 
 #: Rows of an Arrow batch. Texts may be long, so the default of 10,000 could hold gigabytes.
 BATCH_ROWS = 256
@@ -20,25 +18,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set (tests, one machine)."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="zonewise-"))
-    return jsc.getCheckpointDir().get()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder's path that driver and executors share."""
-    return f"{_checkpoint_folder(spark)}/{uuid.uuid4().hex}"
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there."""
-    _checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with batches of bounded size."""
     ship(df.sparkSession)

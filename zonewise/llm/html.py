@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import cut_lineage, map_batches
 
 MIN_PAGES, MIN_SHARE, MAX_BROADCAST = 8, 0.05, 2_000_000
 
@@ -247,15 +247,15 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in counts], pa.int64()), pa.array([p[1] for p in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["host", "key", "n"])
 
     counted = map_batches(pages.select("url", "html"), run, "host long, key long, n long").groupBy("host", "key").agg(F.sum("n").alias("n"))
-    often = counted.where(F.col("key").isNotNull() & (F.col("n") >= min_pages))
+    # both sides below come from one pass over the pages; rare subtrees are not written
+    counted = cut_lineage(counted.where(F.col("key").isNull() | (F.col("n") >= min_pages)))
+    often = counted.where(F.col("key").isNotNull())
     hosts = counted.where(F.col("key").isNull()).select("host", F.col("n").alias("n_pages"))
     return often.join(hosts, "host").where(F.col("n") >= min_share * F.col("n_pages")).select("key")
 
 
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """page_id, url, text, n_chars; one row per page."""
-    from .common import cut_lineage
-
     found = cut_lineage(templates(pages, min_pages, min_share))
     pages = pages.select(F.col("page_id"), "url", "html")
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
