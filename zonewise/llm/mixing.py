@@ -113,4 +113,5 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.struct("*").alias("row"))
     rows = rows.join(mixed, rows["id"].eqNullSafe(mixed["doc_id"])).select("row", "due")
     rows = rows.orderBy(F.get("due.positions", F.lit(0)), F.col(f"row.{id_col}"))
-    return rows.select("row.*", "due").withColumns({"copies": F.col("due.copies"), "positions": F.col("due.positions")}).drop("due")
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in ("copies", "positions")]
+    return rows.select(*own, F.col("due.copies"), F.col("due.positions"))
