@@ -12,7 +12,10 @@ RULE = "raw string, kind string, parity string, lo int, hi int, num string, nums
 def matches(spark, rule: dict, house):
     row = {"raw": "", "kind": "unknown", "parity": "all", "lo": None, "hi": None, "num": None, "nums": None, "exc": None} | rule
     df = spark.createDataFrame([(house, *row.values())], f"house string, {RULE}")
-    return df.select(H.house_matches("house", "raw", "kind", "parity", "lo", "hi", "num", "nums", "exc")).first()[0]
+    cols = ("raw", "kind", "parity", "lo", "hi", "num", "nums", "exc")
+    plain, prepared = df.withColumn("r", H.prepared_rule(*cols)).select(H.house_matches("house", *cols), H.prepared_covers(H.house_number("house"), H.normalize_house("house"), F.col("r"))).first()
+    assert plain == prepared
+    return plain
 
 
 def test_house_matches(spark):

@@ -45,6 +45,28 @@ def house_matches(house: Name, raw: Name, rule_type: Name, parity: Name, house_f
     )
 
 
+def prepared_rule(raw: Name, rule_type: Name, parity: Name, house_from: Name, house_to: Name, number: Name, numbers: Name, exceptions: Name) -> Column:
+    """What ``prepared_covers`` needs of a rule: lists split, wording read, and the bounds that its kind leaves open or closes."""
+    kind, low, high = F.coalesce(_c(rule_type), F.lit("unknown")), _c(house_from), _c(house_to)
+    up, down = (kind == "up_to") & high.isNotNull(), (kind == "from_to_end") & low.isNotNull()
+    closed = low.isNotNull() & high.isNotNull()
+    least = F.when(up, -1).when(down | closed, low)
+    most = F.when(up, high).when(down, (1 << 31) - 1).when(closed, high)
+    rest = F.when(_c(parity) == "even", 0).when(_c(parity) == "odd", 1)
+    return F.struct(
+        number_list(exceptions).alias("except"),
+        (strip(F.lower(blank(raw))).isin(*P.ALL_HOUSES) | (kind == "all")).alias("all"),
+        F.array_union(number_list(numbers), number_list(number)).alias("listed"),
+        least.alias("least"), most.alias("most"), rest.alias("rest"),
+    )
+
+
+def prepared_covers(n: Column, target: Column, rule: Column) -> Column:
+    """house_matches of a house's number and normal form, and a prepared rule."""
+    inside = F.coalesce(n.between(rule["least"], rule["most"]) & (rule["rest"].isNull() | (F.abs(n % 2) == rule["rest"])), F.lit(False))
+    return ~F.array_contains(rule["except"], target) & (rule["all"] | inside | F.array_contains(rule["listed"], target))
+
+
 def rule_numbers(raw: Name, number: Name, house_from: Name, house_to: Name, parity: Name, limit: int = LIMIT) -> Column:
     """House numbers that a rule lists or spans, for comparison with other rules."""
     low, high = _c(house_from), _c(house_to)

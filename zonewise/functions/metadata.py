@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .text import Name, blank, strip
+from .text import Name, blank, let, strip
 
 HEAD, BEFORE, AFTER = 3000, 150, 30
 
@@ -17,8 +17,11 @@ def head(text: Name) -> Column:
 
 def own_matches(text: Name, pattern: str) -> Column:
     """Matches in the head that don't stand near words of laws, orders or repealed decrees."""
-    h = F.translate(head(text), "\u0001\u0002", "")
-    pieces = F.slice(F.split(F.regexp_replace(h, pattern, "\u0001$0\u0002"), "\u0001"), 1, 1 << 30)
+    return let(F.translate(head(text), "\u0001\u0002", ""), lambda h: _own_matches(h, pattern))
+
+
+def _own_matches(h: Column, pattern: str) -> Column:
+    pieces = F.split(F.regexp_replace(h, pattern, "\u0001$0\u0002"), "\u0001")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,hit:string>>").alias("found"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -28,13 +31,13 @@ def own_matches(text: Name, pattern: str) -> Column:
         found = F.when(closed, F.concat(acc["found"], F.array(F.struct(acc["at"].alias("start"), hit.alias("hit"))))).otherwise(acc["found"])
         return F.struct((acc["at"] + size).alias("at"), found.alias("found"))
 
-    found = F.aggregate(pieces, start, step)["found"]
-
     def own(m: Column) -> Column:
         begin = F.greatest(m["start"] - BEFORE, F.lit(0))
         return ~F.substring(h, begin + 1, m["start"] + F.length(m["hit"]) + AFTER - begin).rlike(P.FOREIGN_CONTEXT)
 
-    return F.transform(F.filter(found, own), lambda m: m["hit"])
+    found = F.aggregate(pieces, start, step, lambda acc: acc["found"])
+    # texts without a match, the greater part of most heads, don't enter the fold
+    return F.when(h.rlike(pattern), F.transform(F.filter(found, own), lambda m: m["hit"])).otherwise(F.array().cast("array<string>"))
 
 
 def decree_number(text: Name) -> Column:
@@ -43,18 +46,28 @@ def decree_number(text: Name) -> Column:
     return F.regexp_replace(F.regexp_replace(number, r"^[.\-/]+", ""), r"[.\-/]+$", "")
 
 
-def decree_date(text: Name) -> Column:
-    """dd.MM.yyyy: the first own date in figures, else the first own one in words, else the empty string. No calendar check."""
-    figures, words = F.get(own_matches(text, P.DATE_NUMERIC), F.lit(0)), F.get(own_matches(text, P.DATE_TEXT), F.lit(0))
-    pad = lambda x, n: F.when(F.length(x) < n, F.lpad(x, n, "0")).otherwise(x)
-    part = lambda k: F.regexp_extract(figures, P.DATE_NUMERIC, k)
+def _pad(x: Column, n: int) -> Column:
+    return F.when(F.length(x) < n, F.lpad(x, n, "0")).otherwise(x)
+
+
+def _figures(hit: Column) -> Column:
+    part = lambda k: F.regexp_extract(hit, P.DATE_NUMERIC, k)
     year = F.when(F.length(part(3)) == 2, F.concat(F.lit("20"), part(3))).otherwise(part(3))
-    name = F.lower(F.regexp_extract(words, P.DATE_TEXT, 2))
+    return F.when(hit.isNotNull(), F.concat_ws(".", _pad(part(1), 2), _pad(part(2), 2), _pad(year, 4)))
+
+
+def _words(hit: Column) -> Column:
+    name = F.lower(F.regexp_extract(hit, P.DATE_TEXT, 2))
     month = F.lit("")
     for stem, number in reversed(P.MONTHS):
         month = F.when(name.startswith(stem), f"{number:02}").otherwise(month)
-    spelled = F.concat_ws(".", pad(F.regexp_extract(words, P.DATE_TEXT, 1), 2), month, F.regexp_extract(words, P.DATE_TEXT, 3))
-    return F.when(figures.isNotNull(), F.concat_ws(".", pad(part(1), 2), pad(part(2), 2), pad(year, 4))).when(words.isNotNull(), spelled).otherwise("")
+    return F.when(hit.isNotNull(), F.concat_ws(".", _pad(F.regexp_extract(hit, P.DATE_TEXT, 1), 2), month, F.regexp_extract(hit, P.DATE_TEXT, 3)))
+
+
+def decree_date(text: Name) -> Column:
+    """dd.MM.yyyy: the first own date in figures, else the first own one in words, else the empty string. No calendar check."""
+    first = lambda pattern: F.get(own_matches(text, pattern), F.lit(0))
+    return F.coalesce(let(first(P.DATE_NUMERIC), _figures), let(first(P.DATE_TEXT), _words), F.lit(""))
 
 
 def municipality(text: Name) -> Column:

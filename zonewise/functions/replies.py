@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .houses import normalize_parity
-from .text import Name, _c, blank, strip
+from .text import Name, _c, blank, let, strip
 
 RULE = "STRUCT<locality: STRING, street: STRING, house_rule_raw: STRING, parity: STRING, house_from: STRING, house_to: STRING, house_number: STRING, comment: STRING>"
 DECREE = f"decree STRUCT<number: STRING, date: STRING, municipality: STRING>, schools ARRAY<STRUCT<name: STRING, address: STRING, rules: ARRAY<{RULE}>>>"
@@ -28,11 +28,13 @@ def json_repair(reply: Name) -> Column:
 
 def list_text(x: Name) -> Column:
     """house_number: a JSON list becomes a comma list, an object stays JSON, a blank becomes null."""
+
+    def joined(items: Column) -> Column:
+        return F.array_join(F.filter(items, lambda i: i.isNotNull() & (strip(i) != "")), ",")
+
     s = strip(x)
-    items = F.from_json(s, "array<string>")
-    listed = F.array_join(F.filter(items, lambda i: i.isNotNull() & (strip(i) != "")), ",")
-    out = F.when(s.rlike(r"^\[") & items.isNotNull(), listed).otherwise(s)
-    return F.when(out != "", out)
+    out = F.when(s.startswith("["), F.coalesce(joined(F.from_json(s, "array<string>")), s)).otherwise(s)
+    return F.nullif(out, F.lit(""))
 
 
 def digits_or_null(x: Name) -> Column:
@@ -51,18 +53,26 @@ def _rules(rules: Column) -> Column:
     return F.transform(F.coalesce(rules, F.array().cast(f"array<{RULE}>")), coerce_rule)
 
 
+def _when_json(block: Column, schema: str, body) -> Column:
+    """body of the parsed block; null if the block isn't JSON. The block is repaired and parsed once."""
+    return let(block, lambda j: F.when(is_json(j), let(F.from_json(j, schema), body)))
+
+
 def parse_decree(reply: Name) -> Column:
     """STRUCT<decree, schools> of a reply about a whole decree; null if it isn't a JSON object."""
-    x = F.from_json(json_repair(reply), DECREE)
     text = lambda s, k: strip(blank(s[k])).alias(k)
-    decree = F.struct(text(x["decree"], "number"), text(x["decree"], "date"), text(x["decree"], "municipality"))
-    schools = F.transform(F.coalesce(x["schools"], F.array().cast(f"array<STRUCT<name: STRING, address: STRING, rules: ARRAY<{RULE}>>>")), lambda s: F.struct(text(s, "name"), text(s, "address"), _rules(s["rules"]).alias("rules")))
-    return F.when(is_json(json_repair(reply)), F.struct(decree.alias("decree"), schools.alias("schools")))
+
+    def body(x: Column) -> Column:
+        decree = F.struct(text(x["decree"], "number"), text(x["decree"], "date"), text(x["decree"], "municipality"))
+        schools = F.transform(F.coalesce(x["schools"], F.array().cast(f"array<STRUCT<name: STRING, address: STRING, rules: ARRAY<{RULE}>>>")), lambda s: F.struct(text(s, "name"), text(s, "address"), _rules(s["rules"]).alias("rules")))
+        return F.struct(decree.alias("decree"), schools.alias("schools"))
+
+    return _when_json(json_repair(reply), DECREE, body)
 
 
 def parse_territory(reply: Name) -> Column:
     """Rules of a reply about one school; null if it isn't a JSON object."""
-    return F.when(is_json(json_repair(reply)), _rules(F.from_json(json_repair(reply), TERRITORY)["rules"]))
+    return _when_json(json_repair(reply), TERRITORY, lambda x: _rules(x["rules"]))
 
 
 def parse_class(reply: Name) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def _c(x: Name) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once per row, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(x: Name) -> Column:
     """Without white space of any kind at both ends (``trim`` only knows blanks)."""
     return F.regexp_replace(F.regexp_replace(_c(x), r"(?U)^\s+", ""), r"(?U)\s+$", "")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.address import parse_address
-from ..functions.houses import house_matches
+from ..functions.houses import house_number, normalize_house, prepared_covers, prepared_rule
 from ..functions.text import given, keys_match, locality_key, normalize_street, strip
 
 RULE_COLUMNS = ("house_rule_raw", "rule_type", "parity", "house_from", "house_to", "house_number", "house_numbers", "exceptions")
@@ -22,21 +22,29 @@ def towns_of(schools: DataFrame, municipalities: DataFrame) -> DataFrame:
 def find_school(addresses: DataFrame, rules: DataFrame, schools: DataFrame, municipalities: DataFrame) -> DataFrame:
     """address_id and the id of the first rule (by id) that covers it; addresses without one are left out.
 
-    An equi-join on the normalized street, with locality and house as the rest of
-    its condition. Keys and normal forms are computed once per row before the join.
+    An equi-join on the normalized street and the first four letters of the place:
+    places that match agree in these, so no hit is lost, and a street name that
+    every town has is spread over the towns. Rules without any place stand under
+    "*", and all rules stand under "" too, for addresses without a place. Normal
+    forms, lists and bounds are computed once per row, before the join.
+
     The least rule id is taken map-side before the second shuffle, so a street with
     many rules doesn't multiply what is moved. Neither side is broadcast by force:
     Spark picks by size, and adaptive execution splits hot streets.
     """
-    blank_key = F.lit("")
-    targets = addresses.select("address_id", normalize_street("street").alias("_street"), locality_key("locality").alias("_place"), F.col("house").alias("_house"))
+    place = F.when(given("locality"), locality_key("locality")).otherwise("")
+    targets = addresses.select("address_id", normalize_street("street").alias("_street"), place.alias("_place"), house_number("house").alias("_n"), normalize_house("house").alias("_house"))
+    blocks = F.when(F.col("_place") == "", F.array(F.lit(""))).otherwise(F.array(F.substring("_place", 1, 4), F.lit("*")))
+    targets = targets.withColumn("_block", F.explode(blocks))
     rules = rules.join(towns_of(schools, municipalities), rules["school_id"] == F.col("_school"), "left")
-    own = F.when(given("locality"), locality_key("locality")).otherwise(blank_key)
-    town = F.when(given("town"), locality_key("town")).otherwise(blank_key)
-    sides = rules.select(F.col("id").alias("rule_id"), normalize_street("street").alias("_key"), own.alias("_own"), town.alias("_town"), (~given("locality") & ~given("town")).alias("_anywhere"), *RULE_COLUMNS)
-    place = (F.col("_place") == "") | F.col("_anywhere") | keys_match("_own", "_place") | keys_match("_town", "_place")
-    covered = house_matches("_house", *RULE_COLUMNS)
-    hits = targets.join(sides, (F.col("_street") == F.col("_key")) & place & covered)
+    own = F.when(given("locality"), locality_key("locality")).otherwise("")
+    town = F.when(given("town"), locality_key("town")).otherwise("")
+    anywhere = ~given("locality") & ~given("town")
+    sides = rules.select(F.col("id").alias("rule_id"), normalize_street("street").alias("_key"), own.alias("_own"), town.alias("_town"), anywhere.alias("_anywhere"), prepared_rule(*RULE_COLUMNS).alias("_rule"))
+    starts = F.filter(F.array_distinct(F.array(F.substring("_own", 1, 4), F.substring("_town", 1, 4))), lambda x: x != "")
+    sides = sides.withColumn("_at", F.explode(F.concat(F.array(F.lit("")), F.when(F.col("_anywhere"), F.array(F.lit("*"))).otherwise(starts))))
+    near = (F.col("_place") == "") | F.col("_anywhere") | keys_match("_own", "_place") | keys_match("_town", "_place")
+    hits = targets.join(sides, (F.col("_street") == F.col("_key")) & (F.col("_block") == F.col("_at")) & near & prepared_covers(F.col("_n"), F.col("_house"), F.col("_rule")))
     return hits.groupBy("address_id").agg(F.min("rule_id").alias("rule_id"))
 
 
