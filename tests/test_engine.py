@@ -11,7 +11,7 @@ from zonewise import streaming
 from zonewise.functions import replies as R
 from zonewise.operators import catalog, ingest, search, tables, validate
 from zonewise.plans import decrees as D
-from zonewise.sources import documents
+from zonewise.sources import documents, services
 from zonewise.sources import tables as S
 from zonewise.sources.schemas import GAZETTEER, RAW_TABLES, REPLIES
 
@@ -196,3 +196,37 @@ def test_streaming(spark, tmp_path):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 43
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_services(spark):
+    waits, calls = [], []
+
+    def flaky(q):
+        calls.append(q)
+        if len(calls) < 3:
+            raise OSError("Connection reset by peer")
+        return q.upper()
+
+    assert services.with_retry(flaky, "a", sleep=waits.append) == "A" and waits == [4.0, 8.0]
+    with pytest.raises(ValueError, match="bad"):
+        services.with_retry(lambda _: (_ for _ in ()).throw(ValueError("bad")), "a", sleep=waits.append)
+    assert len(waits) == 2
+
+    def client(q):
+        if q == "x":
+            raise ValueError("no such place")
+        return q + "!"
+
+    df = spark.createDataFrame([("a",), ("a",), ("x",), (None,)], "query string")
+    got = {r["query"]: (r["answer"], r["failed"]) for r in services.ask(df, client, pause=0).collect()}
+    assert got == {"a": ("a!", None), "x": (None, "no such place")}
+
+
+def test_pages_and_routes(spark):
+    pages = spark.createDataFrame([("d", 2, "b"), ("d", 1, "a"), ("d", 3, " ")], "doc_id string, page int, text string")
+    assert documents.join_pages(pages).first()["text"] == "a\n\nb"
+    texts = spark.createDataFrame([("d", "x" * 500, "o"), ("e", " short ", "o")], "doc_id string, native string, ocr string")
+    assert {r["doc_id"]: r["text"][0] for r in documents.route_text(texts).collect()} == {"d": "x", "e": "o"}
+    assert documents.pdf_pages(spark.createDataFrame([], "path string, content binary")).count() == 0
+    old = spark.createDataFrame([("a.doc", b"x")], "path string, content binary")
+    assert documents.convert_doc(old).first()["path"] == "a.doc"

@@ -2,14 +2,18 @@
 
 DOCX files are read with the standard library: a zip of XML parts. PDF files need
 a PDF library in the workers; where none is installed, their pages come as tables
-from elsewhere (``schemas.RAW_TABLES``). Old DOC files are converted beforehand.
+from elsewhere (``schemas.RAW_TABLES``). Old DOC files are converted first.
 """
 
 from __future__ import annotations
 
 import io
+import shutil
+import subprocess
+import tempfile
 import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -91,6 +95,53 @@ def docx_tables(docx: DataFrame) -> DataFrame:
     return docx.mapInPandas(run, RAW_TABLES)
 
 
+def pdf_pages(pdf: DataFrame) -> DataFrame:
+    """doc_id, page and text of PDF files (path, content); needs pdfplumber in the workers."""
+    ship(pdf.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            if len(frame):
+                try:
+                    import pdfplumber
+                except ImportError as e:
+                    raise RuntimeError("PDF files need pdfplumber; give their pages as tables instead") from e
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                with pdfplumber.open(io.BytesIO(content)) as doc:
+                    out += [(path, k, page.extract_text() or "") for k, page in enumerate(doc.pages, 1)]
+            yield pd.DataFrame(out, columns=["doc_id", "page", "text"])
+
+    return pdf.mapInPandas(run, "doc_id string, page int, text string")
+
+
+def join_pages(pages: DataFrame) -> DataFrame:
+    """doc_id and the texts of its pages that aren't blank, with a blank line between. One document is one row."""
+    kept = pages.where(F.trim("text") != "").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("p"))
+    return kept.select("doc_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"))
+
+
+def convert_doc(doc: DataFrame, timeout: int = 180) -> DataFrame:
+    """DOC files (path, content) as DOCX content, by LibreOffice where the workers have it; null content where it fails."""
+    ship(doc.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        office = shutil.which("soffice")
+        for frame in frames:
+            out = []
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                made = None
+                with tempfile.TemporaryDirectory() as folder:  # scratch of one conversion, gone with it
+                    source = Path(folder) / "in.doc"
+                    source.write_bytes(content)
+                    if office and subprocess.run([office, "--headless", "--convert-to", "docx", "--outdir", folder, str(source)], capture_output=True, timeout=timeout, check=False).returncode == 0:
+                        made = next((p.read_bytes() for p in Path(folder).glob("*.docx")), None)
+                out.append((path, made))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    return doc.mapInPandas(run, "path string, content binary")
+
+
 def route_text(texts: DataFrame, enough: int = 500) -> DataFrame:
     """native text where it is long enough, else the OCR text (doc_id, native, ocr)."""
     return texts.select("doc_id", F.when(F.length(F.trim("native")) >= enough, F.col("native")).otherwise(F.col("ocr")).alias("text"))
