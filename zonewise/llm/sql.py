@@ -42,4 +42,13 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM dw LEFT JOIN nh USING (r) LEFT JOIN ni USING (r)
 """
 
-ORACLES = {"op1_mix": OP1, "op10_decontaminate": OP10}
+#: The table holds no tool calls; should one turn up, this SQL fails rather than pass it over.
+OP2 = """
+WITH c AS (SELECT *, CASE WHEN regexp_matches(text, '^\\s*\\{') AND json_valid(text) THEN
+  CASE WHEN json_exists(text, '$.tool_call_id') OR json_array_length(text, '$.tool_calls') > 0 THEN error('tool calls are not in this SQL') END END AS checked FROM conversations)
+SELECT conv_id, turn, role, turn AS anchor, 0 AS depth, 0::BIGINT AS n_calls, coalesce(checked, '') AS status,
+  CASE WHEN text IS NULL AND role IS NULL THEN '{}' WHEN text IS NULL THEN to_json({'role': role})::VARCHAR WHEN role IS NULL THEN to_json({'content': text})::VARCHAR ELSE to_json({'content': text, 'role': role})::VARCHAR END AS json
+FROM c
+"""
+
+ORACLES = {"op1_mix": OP1, "op2_chat_format": OP2, "op10_decontaminate": OP10}
