@@ -58,7 +58,7 @@ def territories(v: Views) -> DataFrame:
 
 
 def decree_texts(v: Views) -> DataFrame:
-    o = v.table("orders")
+    o = v.spread("orders", "o_orderkey", "o_custkey", "o_orderdate")
     number, day = text(s("o_custkey"), "-п"), F.date_format("o_orderdate", "d.M.yyyy")
     head = by(
         "o_orderkey",
@@ -71,7 +71,7 @@ def decree_texts(v: Views) -> DataFrame:
 
 def replies(v: Views) -> DataFrame:
     """Model replies with fences, spare commas, loose types, and some that are no JSON."""
-    o = v.table("orders")
+    o = v.spread("orders", "o_orderkey", "o_custkey")
     body = text('{"decree": {"number": "', s("o_custkey"), '", "date": null, "extra": 1}, "schools": [{"name": " СОШ № ', s("o_custkey"), ' ", "address": null, "rules": [{"street": "Мира", "house_rule_raw": null, "parity": "', by("o_orderkey", "even", "weird", "all"), '", "house_from": "', s("o_custkey"), '", "house_to": ', by("o_orderkey", '"abc"', "17", "null"), ', "house_number": ', by("o_orderkey", '["1", "2а", ""]', '"5"', "null"), ", },]}, ]}")
     whole = by("o_orderkey", text("```json\n", body, "\n```"), text("Вот ответ: ", body, " Готово."), body, body, "ответа нет")
     return o.select(s("o_custkey").alias("doc_id"), F.col("o_orderkey").cast("int").alias("chunk"), whole.alias("content"))

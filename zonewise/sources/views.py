@@ -15,6 +15,14 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, name: str, *columns: str) -> DataFrame:
+        """A table's columns for costly work on each row: dealt out if it comes in fewer splits than there are cores.
+
+        Large tables come in many splits and are read as they are.
+        """
+        df, cores = self.table(name).select(*columns), self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
     @property
     def municipalities(self) -> DataFrame:
         both = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
