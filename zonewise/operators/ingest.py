@@ -10,6 +10,7 @@ from ..functions import patterns as P
 from ..functions import text as T
 from ..functions.replies import parse_decree
 from ..runtime import cut_lineage
+from .rows import exploded
 
 
 def merge_fallback(model_rules: DataFrame, text_rules: DataFrame) -> DataFrame:
@@ -39,9 +40,10 @@ def metadata_fill(decrees: DataFrame) -> DataFrame:
 
 def flatten_decree(replies: DataFrame) -> DataFrame:
     """One row per rule of parsed replies (doc_id, chunk, content); unreadable replies give none."""
-    parsed = replies.select("doc_id", "chunk", parse_decree("content").alias("d")).where("d is not null")
-    schools = parsed.select("doc_id", "chunk", F.posexplode("d.schools").alias("school_ix", "s"))
-    return schools.select("doc_id", "chunk", "school_ix", F.col("s.name").alias("school_name"), F.col("s.address").alias("school_address"), F.posexplode("s.rules").alias("rule_ix", "r")).select("doc_id", "chunk", "school_ix", "school_name", "school_address", "rule_ix", "r.*")
+    parsed = replies.select("doc_id", "chunk", parse_decree("content").alias("d"))
+    schools = exploded(parsed, "d.schools", "school_ix", "s", "doc_id", "chunk")
+    rules = exploded(schools, "s.rules", "rule_ix", "r", "doc_id", "chunk", "school_ix", F.col("s.name").alias("school_name"), F.col("s.address").alias("school_address"))
+    return rules.select("doc_id", "chunk", "school_ix", "school_name", "school_address", "rule_ix", "r.*")
 
 
 def rule_fields() -> Column:

@@ -10,6 +10,7 @@ from ..functions import patterns as P
 from ..functions import text as T
 from ..functions.houses import houses_to_rules
 from ..runtime import ship
+from .rows import exploded
 
 ORDER = ("page", "table_ix", "row_ix")
 
@@ -29,13 +30,13 @@ def fill_forward(raw: DataFrame) -> DataFrame:
 def multi_column_rows(raw: DataFrame) -> DataFrame:
     """One row per street name (aliases apart) with a school and house numbers."""
     rows = fill_forward(raw).where(F.col("school_name").isNotNull() & T.is_street_like("street") & T.has_digit("houses"))
-    return rows.select("doc_id", *ORDER, "school_name", F.posexplode(T.street_aliases("street")).alias("alias_ix", "street"), "houses")
+    return exploded(rows, T.street_aliases("street"), "alias_ix", "name", "doc_id", *ORDER, "school_name", "houses").withColumnRenamed("name", "street")
 
 
 def house_rules(rows: DataFrame) -> DataFrame:
     """Rules of (street, houses) rows: exact lists and ranges apart."""
     keep = [c for c in rows.columns if c != "houses"]
-    return rows.select(*keep, F.posexplode(houses_to_rules("houses")).alias("rule_ix", "r")).select(*keep, "rule_ix", "r.*")
+    return exploded(rows, houses_to_rules("houses"), "rule_ix", "r", *keep).select(*keep, "rule_ix", "r.*")
 
 
 def nested_schools(rules: DataFrame) -> DataFrame:
@@ -155,5 +156,5 @@ def zip_columns(pages: DataFrame) -> DataFrame:
     rows = pages.where("page > 1").select("doc_id", "page", F.transform(left, T.clean).alias("l"), right.alias("r"))
     size = F.least(F.size("l"), F.size("r"))
     pairs = F.arrays_zip(F.slice("l", F.lit(1), size), F.slice("r", F.lit(1), size))
-    return rows.select("doc_id", "page", F.posexplode(pairs).alias("record_ix", "x")).select("doc_id", "page", "record_ix", F.col("x.0").alias("school_name"), F.col("x.1").alias("territory_text"))
+    return exploded(rows, pairs, "record_ix", "x", "doc_id", "page").select("doc_id", "page", "record_ix", F.col("x.0").alias("school_name"), F.col("x.1").alias("territory_text"))
 

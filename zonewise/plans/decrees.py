@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.metadata import decree_metadata
 from ..functions.replies import error_of, parse_decree, parse_territory
 from ..operators import ingest, tables
+from ..operators.rows import exploded
 
 RULE = ["locality", "street", "house_rule_raw", "parity", "rule_type", "house_from", "house_to", "house_number", "house_numbers", "exceptions", "comment"]
 MULTI, TWO = "multi_column_street_house", "two_column_school_territories"
@@ -49,9 +50,9 @@ def two_column(raw: DataFrame, territory_replies: DataFrame) -> DataFrame:
     """Rules of a model about each school's territory (doc_id, school_name, content), and what the text has beyond them."""
     schools = school_territories(raw)
     keys = ["doc_id", "school_name"]
-    model = schools.select(*keys).join(territory_replies, keys).select(*keys, F.posexplode(parse_territory("content")).alias("ord", "r"))
+    model = exploded(schools.select(*keys).join(territory_replies, keys), parse_territory("content"), "ord", "r", *keys)
     model = model.select(*keys, "ord", "r.street", "r.house_rule_raw", F.struct("r.locality", "r.parity", "r.house_from", "r.house_to", "r.house_number", "r.comment").alias("more"))
-    own = schools.select(*keys, F.posexplode(T.territory_rules("territory_text")).alias("ord", "r"))
+    own = exploded(schools, T.territory_rules("territory_text"), "ord", "r", *keys)
     own = own.select(*keys, "ord", "r.street", "r.house_rule_raw", _null("struct<locality:string,parity:string,house_from:int,house_to:int,house_number:string,comment:string>").alias("more"))
     both = ingest.merge_fallback(model, own)
     place = F.struct(F.lit(0).alias("page"), F.lit(0).alias("table_ix"), F.when(F.col("origin") == "model", 0).otherwise(1).alias("row_ix"), F.lit(0).alias("alias_ix"), F.col("ord").alias("rule_ix"))

@@ -12,6 +12,7 @@ from .functions import houses as H
 from .functions import replies as R
 from .functions import text as T
 from .operators import catalog, ingest, search, tables, validate
+from .operators.rows import exploded
 from .plans import inputs as I
 from .plans.inputs import by, s
 from .plans.inputs import text as cat
@@ -250,7 +251,7 @@ def merge_cells(v):
 @query
 def street_aliases(v):
     x = by("p_partkey", F.col("p_name"), cat(F.col("p_name"), " (", F.col("p_brand"), ")"), cat(F.col("p_name"), " (", F.upper("p_name"), ") "), "")
-    return v.table("part").select("p_partkey", F.posexplode(T.street_aliases(x)).alias("ix", "street"))
+    return exploded(v.table("part"), T.street_aliases(x), "ix", "street", "p_partkey")
 
 
 @query
@@ -483,19 +484,19 @@ def stitch_names(v):
 
 @query
 def territory_rules(v):
-    return I.territories(v).select("doc_id", F.posexplode(T.territory_rules("territory_text")).alias("ix", "r")).select("doc_id", "ix", "r.*")
+    return exploded(I.territories(v), T.territory_rules("territory_text"), "ix", "r", "doc_id").select("doc_id", "ix", "r.*")
 
 
 @query
 def split_sections(v):
     body = F.repeat(F.concat(F.col("p_name"), F.lit(" ")), F.col("p_size") + 20)
     x = by("p_partkey", cat("вводная часть\n 1.\n", body, "\n2.1.\n", body, "\n3.\nкороткий"), F.repeat("p_name", 600))
-    return v.table("part").select("p_partkey", F.posexplode(T.split_sections(x)).alias("ix", "chunk"))
+    return exploded(v.table("part"), T.split_sections(x), "ix", "chunk", "p_partkey")
 
 
 @query
 def split_by_size(v):
-    return v.table("documents").select("doc_id", F.posexplode(T.split_by_size("text")).alias("ix", "chunk"))
+    return exploded(v.table("documents"), T.split_by_size("text"), "ix", "chunk", "doc_id")
 
 
 @query
