@@ -12,9 +12,10 @@ source's words, and the excess goes to the others by weight until none is above.
 With the sources sorted by (limit / weight), the stopped ones come first, so one
 running sum over the table of sources settles it.
 
-Running sums never hold a source in one task: documents are bucketed by their
-hash, summed by bucket, and each bucket gets the sum of those before it. A bucket
-has about ``bucket_rows`` documents whatever the sources' sizes.
+Running sums never hold a source in one task: documents are bucketed by source
+and hash, summed by bucket, and each bucket gets the sum of those before it, in two
+levels. A bucket has at most about ``bucket_rows`` documents whatever the sources'
+sizes, a run has 2 ** SUPER buckets, and one task sees one row for each run of a source.
 
 Defined cases: null or blank texts have size 0 and are never taken; a null source
 is a source of its own and stands last; repeated rows each take their turn; an
@@ -31,7 +32,7 @@ from .common import cut_lineage
 WEIGHTS, REPEAT, SHARE = (5, 2, 1), 3, 1.0
 #: Weight against progress, by source in turn: level, early, late.
 SCHEDULES = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
-BUCKET_ROWS = 1_000
+BUCKET_ROWS, SUPER = 300, 10
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -84,8 +85,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules=SCHEDULES
     parts = rows.groupBy("key", "source", "bucket").agg(F.sum("size").alias("part"))
     sources = targets(parts.groupBy("key", "source").agg(F.sum("part").alias("source_size")).select("source", "source_size"), weights, repeat, share)
     sources = sources.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).drop("source")
-    earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("key", "bucket", F.coalesce(F.sum("part").over(earlier), F.lit(0)).alias("ahead")).join(sources, "key")
+    # sums of earlier buckets in two levels: within 2 ** SUPER buckets, and over such runs of a source
+    before = lambda *keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("key", "bucket", "part", F.shiftright("bucket", SUPER).alias("run"))
+    runs = parts.groupBy("key", "run").agg(F.sum("part").alias("part"))
+    runs = runs.select("key", "run", F.coalesce(F.sum("part").over(before("key", by="run")), F.lit(0)).alias("run_ahead")).join(sources, "key")
+    parts = parts.select("key", "run", "bucket", F.coalesce(F.sum("part").over(before("key", "run", by="bucket")), F.lit(0)).alias("bucket_ahead")).join(runs, ["key", "run"])
+    parts = parts.withColumn("ahead", F.col("run_ahead") + F.col("bucket_ahead")).drop("run", "run_ahead", "bucket_ahead")
     within = Window.partitionBy("key", "bucket").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0))).join(parts, ["key", "bucket"])
     half = F.col("ahead") + F.col("inner") + F.col("size") / 2
