@@ -104,3 +104,35 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     # mix: copies as the digest says
     want = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).where("copies > 0").collect()}
     assert {r["doc_id"]: r["copies"] for r in stages["mix"](spark, docs, sf).select("doc_id", F.col("copies")).collect()} == want
+
+CLASHES = ("key", "id", "body", "calls", "anchor", "depth", "c1", "i1", "note", "found", "row", "hits", "text", "n_chars", "host", "n", "keys")
+
+
+def with_clashes(df):
+    return df.select("*", *[F.lit(k).alias(n) for k, n in enumerate(CLASHES) if n not in df.columns])
+
+
+def test_chat_edges(spark):
+    from zonewise.llm import chat
+
+    call = '{"tool_calls": [{"id": "a", "name": "search", "arguments": {"query": "x"}}]}'
+    rows = [(1, 0, "user", None), (1, 0, "user", None), (1, 1, None, ""), (None, None, None, None), (2, 0, "assistant", call), (2, 0, "assistant", call), (2, 1, "tool", '{"tool_call_id": "a", "content": null}'), (3, 0, "user", "long text " * 200_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    first = sorted(map(str, chat.format_chat(df).collect()))
+    assert len(first) == len(rows)
+    assert sorted(map(str, chat.format_chat(with_clashes(df)).collect())) == first
+    assert chat.format_chat(df.limit(0)).count() == 0
+
+
+def test_page_edges(spark):
+    from zonewise.llm import html
+
+    rows = [(1, "http://a.org", "<article><p>x</p></article>"), (1, "http://a.org", "<article><p>x</p></article>"), (2, None, None), (None, "", ""), (3, "http://a.org", "<div>" * 20_000 + "deep"), (4, "http://a.org", "<article>" + "<p>word " * 100_000 + "</article>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (html.MAX_BROADCAST, -1):
+        got = html.main_text(df, max_broadcast=limit).collect()
+        assert len(got) == len(rows)
+        assert sorted(map(str, html.main_text(with_clashes(df), max_broadcast=limit).collect())) == sorted(map(str, got))
+        by = {r["page_id"]: r for r in got}
+        assert by[3]["text"] == "deep" and by[4]["text"].count("\n") == 99_999 and by[2]["n_chars"] == 0
+        assert html.main_text(df.limit(0), max_broadcast=limit).count() == 0
