@@ -305,6 +305,26 @@ def test_selects_like_the_target(spark):
     assert {r["doc_id"] for r in importance.select(docs, labels, k=100).collect()} == {r["doc_id"] for r in some.where("selected").collect()}
 
 
+def test_few_harmful_words_reject_a_text_of_any_length(spark):
+    r = np.random.default_rng(5)
+    vocabulary = ["".join(r.choice(list("aeioulmnrst"), 6)) for _ in range(3000)]
+    rows, labels = [], []
+    for i in range(2400):
+        n = int(r.choice([40, 200, 900]))
+        words = list(r.choice(vocabulary, n))
+        harmful = i % 8 == 0
+        if harmful:  # two words of a head of their own in a short text, one in a hundred words in longer ones
+            for at in r.choice(n, max(2, n // 100), replace=False):
+                words[at] = "zqzq" + "".join(r.choice(list("aeiou"), 3))
+        rows.append((i, " ".join(words)))
+        if i % 5 < 2:
+            labels.append((i, 1, int(harmful)))
+    got = importance.resample(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    by = {r["doc_id"]: r["selected"] for r in got.where("doc_id % 5 >= 2").collect()}  # none of these is labelled
+    assert sum(v for k, v in by.items() if k % 8) >= 0.995 * sum(1 for k in by if k % 8)
+    assert sum(not v for k, v in by.items() if k % 8 == 0) >= 0.98 * sum(1 for k in by if k % 8 == 0)
+
+
 def test_kth_largest(spark):
     r = np.random.default_rng(3)
     q = [int(x) for x in r.integers(-(10**12), 10**12, 500)] + [5] * 50

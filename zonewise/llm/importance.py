@@ -1,23 +1,29 @@
 """Quality selection by importance resampling.
 
-Two generative models over hashed n-grams: the target, from labelled good texts,
-and the raw text, from all documents. A document's importance weight is the ratio
-of its probabilities under them, tempered to a text of ``LENGTH`` n-grams: else a
-share of a language that is a few percent off would decide every long text.
-Gumbel noise added to the logarithm of the weight makes a top-k pick a sample
-without replacement.
-
-N-grams are words, word pairs and word endings of three bytes. A word repeated at
-once counts as one "repeat" pair whatever the word. Each bucket's ratio is
-shrunk to one by ``prior`` expected occurrences, so that buckets with little
-evidence don't decide.
+Two generative models over hashed n-grams: the target, from labelled good and
+harmless texts, and the raw text, from all documents. A document's importance
+weight is the ratio of its probabilities under them, with Gumbel noise added to
+its logarithm: a top-k pick is then a sample without replacement.
+
+N-grams are words, word pairs, word endings of three bytes and word heads of four
+and five, each kind with a table of its own. A word repeated at once counts as one
+"repeat" pair whatever the word. Each bucket's ratio is shrunk to one by ``PRIOR``
+expected occurrences.
+
+The plain ratio adds up over a text's length, and a share of a language that is a
+few percent off would decide every long text. So evidence is tempered at two
+rates. All of it (but heads) counts as in a text of ``LENGTH`` n-grams. Strong evidence counts
+``SHARP`` times once more, and only texts of more than ``FULL`` n-grams are scaled
+down to these: so a few words that good texts never use weigh against a text of
+any length. Evidence is strong where the ratio of the shares of texts that have
+the n-gram, shrunk by ``STRONG_PRIOR`` texts, is beyond exp(``STRONG``), up or down.
 
 The raw counts cover every document; the target is a sample of at most
 ``max_labels`` labelled rows, those with the least hash of their doc_id. The model
-has 2 ** ``bits`` buckets whatever the input, and this alone is sent to the workers.
+has five tables of 2 ** ``bits`` buckets whatever the input, and this alone is sent to the workers.
 
 k is by default the number of documents whose weight is at least exp(-MARGIN):
-junk lies far below, and the target's own documents near 1. The k-th largest key is found by histograms of 1,024
+junk and harmful texts lie below, and the target's own documents near 1. The k-th largest key is found by histograms of 1,024
 bins, each within a bin of the last, so no ranking is gathered anywhere.
 
 Defined cases: null or blank texts have weight 1 (log 0); rows with equal ids and
@@ -40,14 +46,28 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import as_bytes, cut_lineage, map_batches
 
-BITS, MAX_LABELS, PRIOR, SEED = 18, 50_000, 20.0, 11
-#: Weights are those of a text of so many n-grams; one is rejected below exp(-MARGIN).
-LENGTH, MARGIN = 100, 20.0
+BITS, MAX_LABELS, SEED = 18, 50_000, 11
+#: Expected occurrences, and texts, that shrink a bucket's ratio to one.
+PRIOR, STRONG_PRIOR = 20.0, 5.0
+#: All evidence counts as in a text of LENGTH n-grams; strong evidence SHARP times once more, as of FULL n-grams at most.
+LENGTH, STRONG, SHARP, FULL = 500, 1.5, 6.0, 4000
+#: A document is rejected if its weight is below exp(-MARGIN).
+MARGIN = 60.0
 #: Words whose n-grams are hashed at once.
 CHUNK = 1 << 16
 #: Keys are compared in steps of 2 ** -20.
 STEP = 1 << 20
-REPEAT = np.uint64(0x9E3779B97F4A7C15)
+REPEAT, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Words, pairs, endings, heads of four and of five bytes.
+KINDS = 5
+#: The kinds before this one count as all evidence, heads as strong evidence only.
+BROAD = 3
+#: How often a bucket occurs and in how many texts, in all documents and in the target's.
+COUNTS = ("raw", "raw_texts", "target", "target_texts")
+
+
+def repeat_bucket(bits: int = BITS) -> int:
+    return (1 << bits) + (int(REPEAT) * int(SPREAD) % (1 << 64) >> 64 - bits)
 
 
 def buckets(body: bytes | None, bits: int = BITS) -> Iterator[np.ndarray]:
@@ -55,11 +75,12 @@ def buckets(body: bytes | None, bits: int = BITS) -> Iterator[np.ndarray]:
     words = (body or b"").lower().split()
     for at in range(0, len(words), CHUNK):
         part = words[max(0, at - 1) : at + CHUNK]
-        own = np.fromiter(map(crc32, part), np.uint64, len(part))
-        ends = np.fromiter(map(crc32, [w[-3:] for w in part], repeat(1)), np.uint64, len(part))
+        hashed = lambda x, kind: np.fromiter(map(crc32, x, repeat(kind)), np.uint64, len(part))  # noqa: E731, B023
+        own = hashed(part, 0)
         pairs = np.where(own[1:] == own[:-1], REPEAT, own[1:] * np.uint64(31) + (own[:-1] << np.uint64(20)) + np.uint64(7))
         first = 1 if at else 0  # the word before the part only makes a pair
-        yield (np.concatenate((own[first:], pairs, ends[first:])) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - bits)).astype(np.int64)
+        kinds = (own[first:], pairs, hashed([w[-3:] for w in part], 1)[first:], hashed([w[:4] for w in part], 2)[first:], hashed([w[:5] for w in part], 3)[first:])
+        yield np.concatenate([(x * SPREAD >> np.uint64(64 - bits)).astype(np.int64) + (k << bits) for k, x in enumerate(kinds)])
 
 
 def good_ids(labels: DataFrame, max_labels: int = MAX_LABELS) -> np.ndarray:
@@ -69,51 +90,64 @@ def good_ids(labels: DataFrame, max_labels: int = MAX_LABELS) -> np.ndarray:
     return np.unique(found.column(0).to_numpy())
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_labels: int = MAX_LABELS, prior: float = PRIOR, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Logarithm of target over raw probability, by bucket."""
+def log_ratios(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_labels: int = MAX_LABELS, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """Logarithm of target over raw probability by bucket: row 0 holds all evidence, row 1 the strong, zero elsewhere."""
+    size = KINDS << bits
     good = docs.sparkSession.sparkContext.broadcast(good_ids(labels, max_labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        sums = np.zeros((len(COUNTS), size), np.int64)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             hit = np.isin(np.array([-1 if i is None else i for i in ids], np.int64), good.value) & np.array([i is not None for i in ids], bool)
             for body, is_good in zip(batch.column(1), hit, strict=True):
                 for part in buckets(body.as_py(), bits):
-                    counts = np.bincount(part, minlength=1 << bits) if part.size > 1 << bits - 3 else None
-                    for into in (raw, target)[: 1 + is_good]:
-                        if counts is None:
-                            np.add.at(into, part, 1)
-                        else:
-                            into += counts
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
+                    found, times = np.unique(part, return_counts=True)
+                    sums[0, found] += times
+                    sums[1, found] += 1
+                    if is_good:
+                        sums[2, found] += times
+                        sums[3, found] += 1
+        at = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(x[at]) for x in sums)], names=["bucket", *COUNTS])
 
     rows = as_bytes(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
-    counts = map_batches(rows, run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
+    counts = map_batches(rows, run, ", ".join(f"{c} long" for c in ("bucket", *COUNTS))).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in COUNTS]).toArrow()
+    sums = np.zeros((len(COUNTS), size))
     at = counts.column("bucket").to_numpy()
-    raw[at], target[at] = counts.column("raw").to_numpy(), counts.column("target").to_numpy()
-    expected = raw * (target.sum() / max(raw.sum(), 1.0))
-    return np.log((target + prior) / (expected + prior)).astype(np.float32)
+    for k, c in enumerate(COUNTS):
+        sums[k, at] = counts.column(c).to_numpy()
+
+    def ratio(raw: np.ndarray, target: np.ndarray, prior: float) -> np.ndarray:
+        raw, target = raw.reshape(KINDS, -1), target.reshape(KINDS, -1)
+        expected = raw * (target.sum(axis=1) / np.maximum(raw.sum(axis=1), 1.0))[:, None]
+        return np.log((target + prior) / (expected + prior)).ravel()
+
+    every, strong = ratio(sums[0], sums[2], PRIOR), ratio(sums[1], sums[3], STRONG_PRIOR)
+    every[BROAD << bits :] = 0
+    strong[np.abs(strong) <= STRONG] = 0
+    strong[repeat_bucket(bits)] = 0
+    return np.stack([every, strong]).astype(np.float32)
 
 
 def weigh(docs: DataFrame, ratios: np.ndarray, name: str, text_col: str = "text") -> DataFrame:
     """docs with the logarithm of the importance weight as a last column of this name."""
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
-    bits = int(ratios.size).bit_length() - 1
+    bits = int(ratios.shape[1] // KINDS).bit_length() - 1
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, strong = sent.value
         for batch in batches:
             texts = batch.column(at).cast(pa.binary())
             total = []
             for x in texts:
-                score, n = 0.0, 0
+                score, sharp, n = 0.0, 0.0, 0
                 for part in buckets(x.as_py(), bits):
-                    score += float(sent.value[part].sum(dtype=np.float64))
+                    score += float(every[part].sum(dtype=np.float64))
+                    sharp += float(strong[part].sum(dtype=np.float64))
                     n += part.size
-                total.append(LENGTH * score / max(n, 1))
+                total.append(LENGTH * score / max(n, 1) + SHARP * sharp * min(1.0, FULL / max(n, 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total, pa.float64())], names=[*batch.schema.names, name])
 
     return map_batches(docs, run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
