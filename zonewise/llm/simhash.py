@@ -207,7 +207,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     joined = components(links(nodes))
     roots = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    named = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # written, so that no aggregate stands under the join: adaptive execution can then split the rows of a large component
+    named = cut_lineage(roots.groupBy("root").agg(F.min("least_id").alias("component_id")))
     known = roots.join(named, "root").select("fp", "component_id")
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
