@@ -193,6 +193,18 @@ def test_licenses():
     assert [n for n, _, _ in found(long)] == ["MIT"]
 
 
+@pytest.mark.parametrize("other", ["GNU General Public License, version 1", "GNU Lesser General Public License, version 2", "Creative Commons Attribution 3.0 Unported License", "Creative Commons Attribution-ShareAlike 2.0 Unported License"])
+def test_an_unlisted_relative_hides_no_license(other):
+    mention = f"This work is licensed under the {other}."
+    assert [x[0] for x in licenses.scan_text(f"{mention} Released under the MIT License.")] == ["MIT"]
+    assert [x[0] for x in licenses.scan_text(f"Released under the MIT License. {'Some more words. ' * 12}{mention}")] == ["MIT"]
+
+
+def test_an_altered_name_hides_no_equal_alignment():
+    text = "This work is licensed under the GNU General Public License, version 1. This work was licensed under the GNU General Public License, version 2."
+    assert [(n, d) for n, _, _, d in licenses.scan_text(text)] == [("GPL-2.0", "is/was")]
+
+
 def test_license_lines_of_documents(docs):
     lines = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT"}
     want = {r["doc_id"]: sorted({n for line, n in lines.items() if line in (r["text"] or "")}) for r in docs.collect()}

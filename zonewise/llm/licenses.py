@@ -1,10 +1,11 @@
 """License scans by conditional compression.
 
-Blocks of text around license words are compressed once alone and once with each
-template as a raw zstandard dictionary; the size saved ranks the templates. The
-best ones are then confirmed word by word: the least-edit alignment of the
-template inside the block must have the license's name unchanged and at most one
-other difference in ten words. Differences are reported. A confirmed stretch is
+A template is tried in a block of text around license words unless an exact bound
+on shared words rules it out. The block is compressed once alone and once with each
+template as a raw zstandard dictionary; the size saved ranks the templates. All
+of them are then confirmed word by word: the least-edit alignment of the template
+inside the block that leaves the license's name unchanged may have one other
+difference in ten words. Differences are reported. A confirmed stretch is
 taken out of the block and the rest is ranked again, so a block may hold several.
 
 Defined cases: a null or blank text has no licenses; repeated rows each come
@@ -63,8 +64,8 @@ CUES = ("licens", "licenc", "permission", "redistribut", "public domain", "unenc
 WORD = re.compile(r"[A-Za-z0-9]+(?:[.+-][A-Za-z0-9]+)*")
 #: Words of a block, and the step between windows of a longer paragraph; no template is longer than their difference.
 BLOCK, STEP = 160, 100
-#: Templates confirmed word by word, in order of the size saved.
-WINNERS = 8
+#: Edits of an alignment that changes a license's name: more than any template has words.
+NEVER = 1 << 20
 LEVEL = 3
 
 
@@ -74,9 +75,14 @@ class Template:
         own = [w.lower() for w in WORD.findall(name)]
         #: Positions that must match exactly: the name's words.
         self.fixed = frozenset(i for i, w in enumerate(self.words) if w in own) if name else frozenset()
+        self.name = frozenset(self.words[i] for i in self.fixed)
         line = " ".join(self.words).encode()
         self.packer = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(line, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
 
+    def possible(self, words: frozenset[str]) -> bool:
+        """Whether a block of these words can confirm it: the name's words are there, and few enough others miss."""
+        return self.name <= words and 10 * sum(w not in words for w in self.words) <= len(self.words)
+
     def saved(self, body: bytes, alone: int) -> int:
         return alone - len(self.packer.compress(body))
 
@@ -90,27 +96,29 @@ def templates() -> list[Template]:
     return out + [Template(k, text, "") for k, text in NOTICES.items()]
 
 
-def align(template: list[str], words: list[str]) -> tuple[int, int, int, list[tuple[int, str, str]]]:
+def align(template: list[str], words: list[str], fixed: frozenset[int] = frozenset()) -> tuple[int, int, int, list[tuple[int, str, str]]]:
     """(edits, start, end, differences) of the template's least-edit alignment inside words.
 
-    A difference is (template position, template word or "", block word or "").
+    A difference is (template position, template word or "", block word or ""); one at a fixed position costs NEVER.
     """
     n = len(words)
+    cost = [NEVER if i in fixed else 1 for i in range(len(template) + 1)]
     rows = [[0] * (n + 1)]
     for i, t in enumerate(template, 1):
-        before, row = rows[-1], [i]
+        before, own, added = rows[-1], cost[i - 1], cost[i]
+        row = [before[0] + own]
         for j, w in enumerate(words, 1):
-            row.append(min(before[j - 1] + (t != w), before[j] + 1, row[j - 1] + 1))
+            row.append(min(before[j - 1] + (own if t != w else 0), before[j] + own, row[j - 1] + added))
         rows.append(row)
     end = min(range(n + 1), key=rows[-1].__getitem__)
     i, j, diffs = len(template), end, []
     while i:
         at = rows[i][j]
-        if j and at == rows[i - 1][j - 1] + (template[i - 1] != words[j - 1]):
+        if j and at == rows[i - 1][j - 1] + (cost[i - 1] if template[i - 1] != words[j - 1] else 0):
             i, j = i - 1, j - 1
             if template[i] != words[j]:
                 diffs.append((i, template[i], words[j]))
-        elif at == rows[i - 1][j] + 1:
+        elif at == rows[i - 1][j] + cost[i - 1]:
             i -= 1
             diffs.append((i, template[i], ""))
         else:
@@ -128,13 +136,16 @@ def confirmed(words: tuple[str, ...]) -> tuple[tuple[str, int, int, str], ...]:
         at, part = parts.pop()
         if len(part) < 3:
             continue
+        own = frozenset(part)
+        tried = [t for t in templates() if t.possible(own)]
+        if not tried:
+            continue
         body = " ".join(part).encode()
         alone = len(plain.compress(body))
-        ranked = sorted(templates(), key=lambda t: -t.saved(body, alone))[:WINNERS]
         best = None
-        for rank, t in enumerate(ranked):
-            edits, i, j, diffs = align(t.words, part)
-            if 10 * edits <= len(t.words) and not any(k in t.fixed for k, _, _ in diffs) and (best is None or (-len(t.fixed), edits - len(t.words)) < best[0]):
+        for rank, t in enumerate(sorted(tried, key=lambda t: -t.saved(body, alone))):
+            edits, i, j, diffs = align(t.words, part, t.fixed)
+            if 10 * edits <= len(t.words) and (best is None or (-len(t.fixed), edits - len(t.words)) < best[0]):
                 best = ((-len(t.fixed), edits - len(t.words)), rank, t.id, i, j, "; ".join(f"{a or '+'}/{b or '-'}" for _, a, b in diffs))
         if best:
             _, _, name, i, j, diffs = best
