@@ -205,6 +205,24 @@ def test_an_altered_name_hides_no_equal_alignment():
     assert [(n, d) for n, _, _, d in licenses.scan_text(text)] == [("GPL-2.0", "is/was")]
 
 
+def test_every_template_alone_is_found():
+    for license_id, names in licenses.NAMES.items():
+        for text in [f.format(n) for n in names for f in licenses.FORMS] + [f"SPDX-License-Identifier: {license_id}"]:
+            assert [n for n, _, _, _ in licenses.scan_text(text)] == [license_id], text
+            assert [n for n, _, _, _ in licenses.scan_text(f"First words.\n\n{text}\n\nMore.")] == [license_id], text
+    for license_id, text in licenses.NOTICES.items():
+        assert [n for n, _, _, _ in licenses.scan_text(text)] == [license_id]
+
+
+def test_no_difference_hides_a_template():
+    for t in licenses.templates():
+        free = [i for i in range(len(t.words)) if i not in t.fixed]
+        # the cues themselves are what is changed, as far as differences go
+        changed = sorted(free, key=lambda i: (t.words[i] not in licenses.cues(), i))[: len(t.words) // 10]
+        text = " ".join("zzz" if i in changed else w for i, w in enumerate(t.words))
+        assert t.id in [n for n, _, _, _ in licenses.scan_text(text)], text
+
+
 def test_license_lines_of_documents(docs):
     lines = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT"}
     want = {r["doc_id"]: sorted({n for line, n in lines.items() if line in (r["text"] or "")}) for r in docs.collect()}

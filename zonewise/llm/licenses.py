@@ -59,8 +59,6 @@ NOTICES = {
     "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "Unlicense": "This is free and unencumbered software released into the public domain",
 }
-#: A line with one of these may open a block.
-CUES = ("licens", "licenc", "permission", "redistribut", "public domain", "unencumbered")
 WORD = re.compile(r"[A-Za-z0-9]+(?:[.+-][A-Za-z0-9]+)*")
 #: Words of a block, and the step between windows of a longer paragraph; no template is longer than their difference.
 BLOCK, STEP = 160, 100
@@ -79,6 +77,17 @@ class Template:
         line = " ".join(self.words).encode()
         self.packer = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(line, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
 
+    def cues(self) -> list[str]:
+        """Words of which every confirmed stretch holds at least one.
+
+        Any word of a template too short for a difference, or any of the name, can't be missing; else one word more than
+        there may be differences.
+        """
+        edits = len(self.words) // 10
+        sure = self.words if not edits else [self.words[i] for i in self.fixed]
+        by = sorted(set(sure or self.words), key=lambda w: ("licens" not in w, -len(w), w))
+        return by[:1] if sure else by[: edits + 1]
+
     def possible(self, words: frozenset[str]) -> bool:
         """Whether a block of these words can confirm it: the name's words are there, and few enough others miss."""
         return self.name <= words and 10 * sum(w not in words for w in self.words) <= len(self.words)
@@ -96,6 +105,17 @@ def templates() -> list[Template]:
     return out + [Template(k, text, "") for k, text in NOTICES.items()]
 
 
+@lru_cache(maxsize=1)
+def cues() -> frozenset[str]:
+    """Words that open a block: each template's confirmed stretches hold one."""
+    return frozenset(w for t in templates() for w in t.cues())
+
+
+def cued_text(text: str) -> bool:
+    low = text.lower()
+    return any(w in low for w in cues())
+
+
 def align(template: list[str], words: list[str], fixed: frozenset[int] = frozenset()) -> tuple[int, int, int, list[tuple[int, str, str]]]:
     """(edits, start, end, differences) of the template's least-edit alignment inside words.
 
@@ -134,8 +154,6 @@ def confirmed(words: tuple[str, ...]) -> tuple[tuple[str, int, int, str], ...]:
     plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
     while parts:
         at, part = parts.pop()
-        if len(part) < 3:
-            continue
         own = frozenset(part)
         tried = [t for t in templates() if t.possible(own)]
         if not tried:
@@ -156,14 +174,14 @@ def confirmed(words: tuple[str, ...]) -> tuple[tuple[str, int, int, str], ...]:
 
 def scan_text(text: str | None) -> list[tuple[str, int, int, str]]:
     """(license, start, end, differences) by start; offsets in code points."""
-    if not text or not any(cue in text.lower() for cue in CUES):
+    if not text or not cued_text(text):
         return []
     found = {}
     at = 0
     for paragraph in re.split(r"(\n[ \t\r]*\n)", text):
-        if any(cue in paragraph.lower() for cue in CUES):
+        if cued_text(paragraph):
             spans = [(m.start() + at, m.end() + at, m[0].lower()) for m in WORD.finditer(paragraph)]
-            cued = [k for k, (_, _, w) in enumerate(spans) if any(cue.split()[0] in w for cue in CUES)]
+            cued = [k for k, (_, _, w) in enumerate(spans) if w in cues()]
             # only words near a cue can belong to a template: windows start and end there
             begin = end = None
             windows: list[tuple[int, int]] = []
