@@ -241,6 +241,37 @@ def test_models_are_distributions(spark):
     assert np.allclose(sums, 1, atol=1e-3)
 
 
+def test_models_are_distributions_after_any_context(spark):
+    docs = spark.createDataFrame([(1, "the cat and the hat", "en"), (2, "der Hund und die Kätze", "de")], "doc_id long, text string, lang string")
+    every = np.arange(language.CLASSES, dtype=np.int32)
+    for m in language.train(docs).models:
+        for context in ("the ", " der", "zqzq", "and ", "ätz", "d"):
+            before = [0 if c == " " else ord(c) for c in context.rjust(language.ORDER - 1)]
+            windows = np.column_stack([np.full(every.size, c, np.int32) for c in before] + [every])
+            assert np.isclose(np.exp(m.look_up(windows).astype(np.float64)).sum(), 1, atol=1e-3)
+
+
+def test_letters_that_once_shared_a_class_tell_languages_apart(spark):
+    r = np.random.default_rng(1)
+    frames = ["".join(r.choice(list("bcdfglmnprst"), 2)) + "{}" + "".join(r.choice(list("bcdfglmnprst"), 2)) for _ in range(60)]
+    for own in ("éä", "ан", "ей", "бц", "дф"):
+        rows = [(i, " ".join(f.format(own[i % 2]) for f in r.choice(frames, 12)), "ab"[i % 2]) for i in range(80)]
+        got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("held_out").collect()
+        assert got and all(x["lang_pred"] == "ab"[x["doc_id"] % 2] for x in got), own
+
+
+def test_counts_grow_with_the_corpus(spark):
+    for n in (2_000, 20_000):
+        text = "".join(map(chr, range(0x4E00, 0x4E00 + n)))
+        (model,) = language.train(spark.createDataFrame([(1, text, "zh")], "doc_id long, text string, lang string")).models
+        assert [g.size for g in model.grams] == [n + 1] * language.ORDER
+
+
+def test_packing_keeps_letters():
+    windows = np.random.default_rng(0).integers(0, language.CLASSES, (1000, language.ORDER)).astype(np.int32)
+    assert (language.unpack(*language.pack(windows)) == windows).all()
+
+
 def test_grams_of_one_text_ignore_the_others():
     alone = [language.grams([t])[0].tolist() for t in ("ab c", "", None, "x")]
     codes, ends = language.grams(["ab c", "", None, "x"])

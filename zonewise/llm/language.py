@@ -1,15 +1,15 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Letters are lower-cased and hashed to 63 classes; anything else is one boundary
-class, and runs of it collapse. For each language the trigrams of all its
-training texts are counted; the model backs off from trigrams over continuation
-counts of bigrams and single classes to the uniform distribution, each step with
-an absolute discount estimated from the counts of counts.
+Letters are lower-cased code points; anything else is one boundary, and runs of
+it collapse. For each language the n-grams of ``ORDER`` letters of all its
+training texts are counted; the model backs off from them over continuation
+counts of the shorter ones, down to single letters and the uniform distribution
+over all code points, each step with an absolute discount estimated from the
+counts of counts.
 
-A model is a pair of sorted arrays: trigram hashes, and their log-probabilities;
-for each bigram context its back-off weight likewise. There are 2 ** 18 possible
-hashes, so a model has a fixed largest size however large the corpus is. Workers
-expand the arrays once by lookup into a table over all hashes.
+A model is a pair of sorted arrays for each order: 64-bit n-gram hashes, and their
+log-probabilities; for the contexts their back-off weights likewise. Look-up is by
+binary search. The arrays hold every n-gram seen, so they grow with the corpus.
 
 A text gets the language with the least cross-entropy per character. Its score is
 the calibrated probability of the winner; rejection marks texts whose
@@ -26,58 +26,102 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import cut_lineage, map_batches
 
-CLASS_BITS = 6
-CLASSES = 1 << CLASS_BITS
-GRAMS = CLASSES**3
+#: Letters of an n-gram; two integers hold their code points.
+ORDER = 5
+POINT_BITS = 21
+#: Code points, 0 for the boundary; single letters are the n-grams of order 1.
+CLASSES = GRAMS = 0x110000
 UNKNOWN = "und"
 #: Training texts that calibrate scores and rejection: those with the least hash of their doc_id.
 CALIBRATION_ROWS, REJECT = 2_000, 0.995
-#: Code points turned into classes at once.
+#: Code points turned into n-grams at once.
 CHUNK = 1 << 20
+#: Distinct n-grams that a counting task holds before it hands them on, and rows of its batches.
+HELD, ROWS = 1 << 21, 1 << 16
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @lru_cache(maxsize=1)
-def classes() -> np.ndarray:
-    """Class by code point: 0 for what is no letter (or a mark), else a hash of the lower-case letter."""
-    out = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
+def letters() -> np.ndarray:
+    """By code point: 0 for what is no letter (or a mark), else the lower-case letter."""
+    out = np.zeros(CLASSES, np.int32)
+    for c in range(CLASSES):
         if unicodedata.category(s := chr(c))[0] in "LM":
-            low = ord(s.lower()[0])
-            out[c] = low - 96 if 97 <= low <= 122 else 27 + crc32(low.to_bytes(4, "little")) % (CLASSES - 27)
+            out[c] = ord(s.lower()[0])
+    return out
+
+
+def hashed(windows: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row."""
+    h = np.full(len(windows), windows.shape[1], np.uint64)
+    for column in windows.T:
+        h = (h + column.astype(np.uint64)) * MIX
+        h ^= h >> np.uint64(29)
+    return h * MIX
+
+
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts h, where each value starts in it, and each value's number of rows."""
+    order = np.argsort(h)
+    own = h[order]
+    starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))[: own.size])
+    return order, starts, np.diff(np.append(starts, own.size))
+
+
+def inverse(order: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each row the number of its value."""
+    out = np.empty(order.size, np.int64)
+    out[order] = np.repeat(np.arange(sizes.size), sizes)
     return out
 
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram hashes of these texts in one array, and each text's end in it. A text is framed by boundaries."""
+    """N-grams (rows of ORDER letters) of these texts in one array, and each text's end in it. A text is framed by boundaries."""
     sizes = np.fromiter((len(t or "") + 2 for t in texts), np.int64, len(texts))
     raw = np.frombuffer("".join(f" {t or ''} " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    kind = classes()[raw]
+    kind = letters()[raw]
     ends = np.cumsum(sizes)
     first = np.zeros(raw.size, bool)
     first[np.concatenate(([0], ends[:-1]))[sizes > 0]] = True
     keep = (kind > 0) | np.concatenate(([True], kind[:-1] > 0)) | first
     at = np.cumsum(keep)[ends - 1] if ends.size else ends
-    kind = kind[keep].astype(np.int32)
-    # the first two positions of a text see only boundaries before them
+    kind = kind[keep]
     starts = np.concatenate(([0], at[:-1]))[: at.size]
-    one, two = np.concatenate(([0], kind[:-1])), np.concatenate(([0, 0], kind[:-2]))
-    one, two = one[: kind.size], two[: kind.size]
-    one[starts] = two[starts] = 0
-    second = starts[starts + 1 < at] + 1
-    two[second] = 0
-    codes = (two << 2 * CLASS_BITS) | (one << CLASS_BITS) | kind
+    out = np.zeros((kind.size, ORDER), np.int32)
+    out[:, -1] = kind
+    for k in range(1, ORDER):
+        out[k:, -1 - k] = kind[:-k]
+    # the first positions of a text see only boundaries before them
+    for k in range(ORDER - 1):
+        out[(starts + k)[starts + k < at], : ORDER - 1 - k] = 0
     counted = np.ones(kind.size, bool)
     counted[starts] = False  # the leading boundary itself is given
-    return codes[counted], np.cumsum(counted)[at - 1] if at.size else at
+    return out[counted], np.cumsum(counted)[at - 1] if at.size else at
+
+
+def pack(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of the first letters, and of the last three, in an integer each."""
+    out = []
+    for part in (windows[:, :-3], windows[:, -3:]):
+        x = np.zeros(len(part), np.int64)
+        for column in part.T:
+            x = x << POINT_BITS | column
+        out.append(x)
+    return out[0], out[1]
+
+
+def unpack(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    mask = (1 << POINT_BITS) - 1
+    columns = [head >> POINT_BITS * k & mask for k in range(ORDER - 4, -1, -1)] + [tail >> POINT_BITS * k & mask for k in (2, 1, 0)]
+    return np.stack(columns, axis=1).astype(np.int32)
 
 
 def batches_of(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
@@ -93,67 +137,107 @@ def batches_of(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]
 
 
 def counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """lang, gram, n: trigram counts over every text. Tasks sum in dense arrays of 2 ** 18 counts a language."""
+    """lang, head, tail, n: counts of packed n-grams over every text. Tasks hold at most about HELD sums before they hand them on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, np.ndarray] = {}
+        held: dict[str, list[tuple[np.ndarray, ...]]] = {}
+
+        def add(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+            h, n, head, tail = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order, starts, _ = distinct(h)
+            first = order[starts]
+            return h[first], np.add.reduceat(n[order], starts), head[first], tail[first]
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                _, n, head, tail = add(parts)
+                for k in range(0, n.size, ROWS):
+                    part = slice(k, k + ROWS)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * n[part].size, pa.string()), pa.array(head[part]), pa.array(tail[part]), pa.array(n[part])], names=["lang", "head", "tail", "n"])
+            held.clear()
+
+        size = 0
         for batch in batches:
             by: dict[str, list] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(lang, []).append(text)
             for lang, texts in by.items():
-                total = totals.setdefault(lang, np.zeros(GRAMS, np.int64))
                 for _, part in batches_of(texts):
-                    total += np.bincount(grams(part)[0], minlength=GRAMS)
-        for lang, total in totals.items():
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * at.size, pa.string()), pa.array(at, pa.int64()), pa.array(total[at])], names=["lang", "gram", "n"])
+                    windows, _ = grams(part)
+                    if len(windows):
+                        h = hashed(windows)
+                        order, starts, n = distinct(h)
+                        first = order[starts]
+                        held.setdefault(lang, []).append((h[first], n, *pack(windows[first])))
+                        size += n.size
+            if size > HELD:
+                for lang in held:
+                    held[lang] = [add(held[lang])]
+                size = sum(x[0][0].size for x in held.values())
+                if size > HELD // 2:
+                    yield from rows()
+                    size = 0
+        yield from rows()
 
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    return map_batches(rows, run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return map_batches(rows, run, "lang string, head long, tail long, n long").groupBy("lang", "head", "tail").agg(F.sum("n").alias("n"))
 
 
 class Model:
-    """Log-probabilities of one language in sorted hash arrays."""
-
-    def __init__(self, gram: np.ndarray, n: np.ndarray):
-        order = np.argsort(gram)
-        gram, n = gram[order], n[order].astype(np.float64)
-        tail, last, context = gram & (CLASSES**2 - 1), gram & (CLASSES - 1), gram >> CLASS_BITS
-        # continuation counts: in how many contexts a bigram, and a class, has been seen
-        pair, seen_pair = np.unique(tail, return_counts=True)
-        single, seen_single = np.unique(pair & (CLASSES - 1), return_counts=True)
-        d3, d2, d1 = (self._discount(x) for x in (n, seen_pair, seen_single))
-        p1 = np.full(CLASSES, 1.0 / CLASSES)
-        total = seen_single.sum()
-        p1 *= d1 * single.size / total
-        p1[single] += np.maximum(seen_single - d1, 0) / total
-        p2 = np.zeros(CLASSES**2)
-        mid = pair >> CLASS_BITS
-        total2, kinds2 = np.bincount(mid, seen_pair, CLASSES), np.bincount(mid, minlength=CLASSES)
-        weight2 = np.where(total2 > 0, d2 * kinds2 / np.maximum(total2, 1), 1.0)
-        p2 = (weight2[:, None] * p1[None, :]).ravel()
-        p2[pair] += np.maximum(seen_pair - d2, 0) / total2[mid]
-        total3, kinds3 = np.bincount(context, n, CLASSES**2), np.bincount(context, minlength=CLASSES**2)
-        weight3 = np.where(total3 > 0, d3 * kinds3 / np.maximum(total3, 1), 1.0)
-        self.gram = gram.astype(np.int32)
-        self.logp = np.log((np.maximum(n - d3, 0) / total3[context]) + weight3[context] * p2[tail]).astype(np.float32)
-        self.context = np.flatnonzero(total3 > 0).astype(np.int32)
-        self.backoff = np.log(weight3[self.context]).astype(np.float32)
-        self.lower = np.log(p2).astype(np.float32)
+    """Log-probabilities of one language in sorted hash arrays, one pair for each order."""
+
+    def __init__(self, windows: np.ndarray, n: np.ndarray):
+        # continuation counts: after how many letters a shorter n-gram has been seen
+        levels = []
+        while windows.shape[1]:
+            order, starts, sizes = distinct(hashed(windows[:, 1:]))
+            suffix = inverse(order, sizes)
+            levels.append((windows, n.astype(np.float64), suffix))
+            windows, n = windows[order[starts], 1:], sizes
+        self.grams, self.logp, self.contexts, self.backoff = [], [], [], []
+        p = np.full(1, 1.0 / CLASSES)
+        for windows, n, suffix in reversed(levels):
+            d = self._discount(n)
+            context = hashed(windows[:, :-1])
+            order, starts, sizes = distinct(context)
+            own = inverse(order, sizes)
+            total = np.bincount(own, n, sizes.size)
+            weight = d * sizes / total
+            p = np.maximum(n - d, 0) / total[own] + weight[own] * p[suffix]
+            gram = hashed(windows)
+            by = np.argsort(gram)
+            self.grams.append(gram[by])
+            self.logp.append(np.log(p[by]).astype(np.float32))
+            self.contexts.append(context[order[starts]])
+            self.backoff.append(np.log(weight).astype(np.float32))
 
     @staticmethod
     def _discount(n: np.ndarray) -> float:
         once, twice = (n == 1).sum(), (n == 2).sum()
         return float(np.clip(once / (once + 2 * twice), 0.1, 0.9)) if once else 0.1
 
-    def look_up(self, gram: np.ndarray) -> np.ndarray:
-        """Log-probabilities by binary search, backing off where a trigram is unseen."""
-        at = np.minimum(np.searchsorted(self.gram, gram), self.gram.size - 1)
-        context = gram >> CLASS_BITS
-        c = np.minimum(np.searchsorted(self.context, context), self.context.size - 1)
-        back = np.where(self.context[c] == context, self.backoff[c], 0.0) + self.lower[gram & (CLASSES**2 - 1)]
-        return np.where(self.gram[at] == gram, self.logp[at], back).astype(np.float32)
+    def look_up(self, windows: np.ndarray, keys: list[tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
+        """Log-probabilities of each row's last letter after the others, by binary search; letters alone come as one dimension.
+
+        Where an n-gram is unseen, the next shorter one's probability counts by the context's back-off weight.
+        """
+        if windows.ndim == 1:
+            windows = windows[:, None]
+        out = np.full(len(windows), -np.log(CLASSES), np.float32)
+        for k, (context, gram) in enumerate(keys or keys_of(windows)):
+            c = np.minimum(np.searchsorted(self.contexts[k], context), self.contexts[k].size - 1)
+            seen = np.flatnonzero(self.contexts[k][c] == context)
+            out[seen] += self.backoff[k][c[seen]]
+            # an n-gram can't be seen without its context
+            at = np.minimum(np.searchsorted(self.grams[k], gram[seen]), self.grams[k].size - 1)
+            hit = self.grams[k][at] == gram[seen]
+            out[seen[hit]] = self.logp[k][at[hit]]
+        return out
+
+
+def keys_of(windows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of context and n-gram by order."""
+    return [(hashed(windows[:, -k:-1]), hashed(windows[:, -k:])) for k in range(1, windows.shape[1] + 1)]
 
 
 class Identifier:
@@ -163,24 +247,21 @@ class Identifier:
         self.names = sorted(models)
         self.models = [models[x] for x in self.names]
         self.sharpness, self.limits = 1.0, np.full(len(models), np.inf)
-        self.table: np.ndarray | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"table": None}
 
     def entropies(self, texts: list[str | None]) -> np.ndarray:
         """Cross-entropy per character by text and language; NaN without a letter."""
-        if self.table is None:
-            every = np.arange(GRAMS, dtype=np.int64)
-            self.table = np.stack([m.look_up(every) for m in self.models])
         out = np.full((len(texts), len(self.names)), np.nan)
         for at, part in batches_of(texts):
-            codes, ends = grams(part)
+            windows, ends = grams(part)
             begin = np.concatenate(([0], ends[:-1]))
-            letters = np.concatenate(([0], np.cumsum((codes & (CLASSES - 1)) > 0)))
-            has = letters[ends] > letters[begin]
-            for k, table in enumerate(self.table):
-                sums = np.concatenate(([0.0], np.cumsum(table[codes], dtype=np.float64)))
+            known = np.concatenate(([0], np.cumsum(windows[:, -1] > 0)))
+            has = known[ends] > known[begin]
+            # each n-gram of the chunk is looked up once
+            order, starts, sizes = distinct(hashed(windows))
+            own, windows = inverse(order, sizes), windows[order[starts]]
+            keys = keys_of(windows)
+            for k, model in enumerate(self.models):
+                sums = np.concatenate(([0.0], np.cumsum(model.look_up(windows, keys)[own], dtype=np.float64)))
                 out[at : at + len(part), k][has] = (-(sums[ends] - sums[begin]) / np.maximum(ends - begin, 1))[has]
         return out
 
@@ -208,14 +289,15 @@ class Identifier:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", calibration_rows: int = CALIBRATION_ROWS) -> Identifier | None:
-    """Models from all given documents. At most 2 ** 18 counts a language and the calibration sample reach the driver."""
-    got = counts(docs, lang_col, text_col).toArrow()
-    if not got.num_rows:
+    """Models from all given documents. The counts of one language at a time and the calibration sample reach the driver."""
+    counted = cut_lineage(counts(docs, lang_col, text_col))
+    models = {}
+    for (lang,) in counted.select("lang").distinct().collect():
+        got = counted.where(F.col("lang") == lang).select("head", "tail", "n").toArrow()
+        head, tail, n = (c.to_numpy() for c in got.columns)
+        models[lang] = Model(unpack(head, tail), n)
+    if not models:
         return None
-    gram, n = got.column("gram").to_numpy(), got.column("n").to_numpy()
-    lang = got.column("lang").combine_chunks().dictionary_encode()
-    codes = lang.indices.to_numpy()
-    models = {x.as_py(): Model(gram[codes == k], n[codes == k]) for k, x in enumerate(lang.dictionary)}
     out = Identifier(models)
     sample = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     # ids first, so that no text is sorted; entropies are taken where the texts are
