@@ -167,6 +167,24 @@ def test_main_text(spark):
     assert html.main_text(pages.limit(0)).count() == 0
 
 
+def test_recurring_parts_of_articles_go(spark):
+    box = '<div class="x7"><p>Get our letter each week</p></div>'
+    page = "<body><div>Day {}</div><article><h1>Title {}</h1><p>Recurring line</p><div><p>Story {} {}</p></div>{}</article></body>"
+    own = [(i, "http://a.org/", page.format(i, i, i, "long " * 30, box)) for i in range(12)]
+    copies = [(100 + i, "http://b.org/", page.format(i, 0, 0, "long " * 30, box)) for i in range(12)]
+    few = [(200 + i, "http://c.org/", page.format(i, i, i, "long " * 30, box)) for i in range(7)]
+    short = [(300, "http://a.org/", f"<article><p>Ha</p>{box}</article>")]
+    large = [(1000 + i, "http://d.org/", f"<body>{'<div>Side bar</div>' if i < 40 else ''}<div>Own {i}</div></body>") for i in range(1000)]
+    df = spark.createDataFrame(own + copies + few + short + large, "page_id long, url string, html string")
+    for limit in (html.MAX_BROADCAST, -1):
+        by = {r["page_id"]: r["text"] for r in html.main_text(df, max_broadcast=limit).collect()}
+        story = "Title {0}\nRecurring line\nStory {0} " + "long " * 29 + "long"
+        assert [by[i] for i in range(12)] == [story.format(i) for i in range(12)] and by[300] == "Ha"
+        assert {by[100 + i] for i in range(12)} == {story.format(0) + "\nGet our letter each week"}, "copies of one article"
+        assert all(by[200 + i].endswith("each week") for i in range(7))
+        assert [by[1000 + i] for i in range(1000)] == [f"Own {i}" for i in range(1000)], "4 % of a host"
+
+
 def test_articles_of_pages(spark, sf):
     import html as entities
 

@@ -1,9 +1,11 @@
 """Main text of web pages, with each site's template removed.
 
-First pass: every page is parsed and the subtrees outside its main content are
-hashed together with the page's host. Spark counts, by host, on how many pages
-each subtree stands. Subtrees that recur on at least ``MIN_PAGES`` pages and on
-``MIN_SHARE`` of the host's pages are the site's template.
+First pass: every page is parsed and its subtrees are hashed together with the
+page's host; inside an article, containers with their place in it. Spark counts
+beside how many different texts each subtree stands: the article's (or page's)
+text without the subtree. Subtrees that recur beside at least ``MIN_PAGES`` texts
+are the site's template, however large the site. So the copies of one article
+count once, and a part with half of an article's text or more doesn't count there.
 
 Second pass: pages are parsed again; template subtrees go, and so do elements
 that say what they are (navigation, footers, forms, scripts, adverts, comments).
@@ -14,8 +16,8 @@ The template hashes are 8 bytes each and are counted before use: up to
 join on the hash, which gives the same rows.
 
 Defined cases: null html gives an empty text; a null or unreadable url has no
-host, so nothing of its template is removed; repeated rows count and come back
-each; broken or truncated markup is read as far as it goes, an unfinished tag at
+host, so nothing of its template is removed; repeated rows count once and come
+back each; broken or truncated markup is read as far as it goes, an unfinished tag at
 the end is dropped; other columns are not read.
 """
 
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, map_batches
 
-MIN_PAGES, MIN_SHARE, MAX_BROADCAST = 8, 0.05, 2_000_000
+MIN_PAGES, MAX_BROADCAST = 8, 2_000_000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[A-Za-z][^>]*+\Z", re.S)
 ATTRIBUTE = re.compile(r"([A-Za-z_:][A-Za-z0-9_:.-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -48,6 +50,8 @@ HINTS = frozenset("ad ads adv advert adverts advertisement advertising banner br
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 HEADER_HINTS = frozenset("header masthead topbar".split())
 CONTAINERS = BLOCKS - frozenset("html body main article".split())
+#: Inside an article, lines of text may recur by themselves; what holds lines may not.
+IN_ARTICLE = CONTAINERS - frozenset("p h1 h2 h3 h4 h5 h6 li dd dt option tr tbody thead tfoot caption figcaption summary hr".split())
 
 
 class Node:
@@ -155,17 +159,39 @@ def host_of(url: str | None) -> str | None:
         return None
 
 
-def subtrees(host: str, nodes: list[Node]) -> dict[Node, int]:
-    """A signed 64-bit hash of host and subtree for each container outside the main content that holds text."""
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def subtrees(host: str, nodes: list[Node], tops: list[Node]) -> dict[Node, tuple[int, int | None]]:
+    """For each container that holds something and isn't dropped: a signed 64-bit hash of host, place in the article and
+    subtree, and one of the text beside it; None where the subtree is half of its article's text or more."""
     digest: dict[Node, str] = {}
-    out = {}
+    own: dict[Node, tuple[int, int]] = {}  # sum of the text items' hashes, and their length
     for n in reversed(nodes):  # children come after their parent
         parts = [x.strip() if isinstance(x, str) else digest[x] for x in n.items]
         line = f"<{n.tag} {n.attrs.strip()}>" + "\x1f".join(p for p in parts if p)
         digest[n] = "\x1e" + xxhash.xxh64_hexdigest(line)
-        if n.tag in CONTAINERS and not n.main and n.items:
-            h = xxhash.xxh64_intdigest(f"{host}\x1f{digest[n]}")
-            out[n] = h - (1 << 64) if h >> 63 else h
+        total = size = 0
+        for x, part in zip(n.items, parts, strict=True):
+            if not isinstance(x, str):
+                total, size = total + own[x][0], size + own[x][1]
+            elif part:
+                total, size = total + xxhash.xxh64_intdigest(part), size + len(part)
+        own[n] = (0, 0) if n.drop else (total, size)
+    # without main content, the scope is the whole page
+    scope = tops or [n for n in nodes if n.parent.parent is None]
+    beside, length = sum(own[n][0] for n in scope), sum(own[n][1] for n in scope)
+    place: dict[Node, str] = {}
+    out = {}
+    for n in nodes:
+        inside = n.main and n.parent.main
+        place[n] = xxhash.xxh64_hexdigest(f"{place[n.parent]}/{n.tag}") if inside else ""
+        if n.drop or not n.items or (n.main and not inside) or n.tag not in (IN_ARTICLE if inside else CONTAINERS):
+            continue
+        key = _signed(xxhash.xxh64_intdigest(f"{host}\x1f{place[n]}{digest[n]}"))
+        rest = beside if tops and not inside else beside - own[n][0]
+        out[n] = key, None if inside and 2 * own[n][1] >= length else _signed(rest % (1 << 64))
     return out
 
 
@@ -208,55 +234,40 @@ def extract(html: str | None, url: str | None, is_template) -> str:
     root, nodes = parse(html)
     tops = content(nodes)
     if host := host_of(url):
-        found = subtrees(host, nodes)
-        own = list(found)
-        for n, hit in zip(own, is_template(np.fromiter(found.values(), np.int64, len(own))), strict=True):
+        found = subtrees(host, nodes, tops)
+        for n, hit in zip(found, is_template(np.fromiter((key for key, _ in found.values()), np.int64, len(found))), strict=True):
             n.drop |= bool(hit)
     if not tops:
         tops = [n for n in nodes if n.tag == "body"][:1] or [root]
     return text_of(tops)
 
 
-def keys_of(html: str | None, url: str | None) -> list[int]:
+def keys_of(html: str | None, url: str | None) -> list[tuple[int, int | None]]:
+    """The subtrees' hashes of a page, each with that of the text beside it."""
     host = host_of(url)
     if not html or not host:
         return []
     _, nodes = parse(html)
-    content(nodes)
-    return sorted(set(subtrees(host, nodes).values()))
-
-
-def _host_key(host: str) -> int:
-    h = xxhash.xxh64_intdigest(host)
-    return h - (1 << 64) if h >> 63 else h
+    tops = content(nodes)
+    return list(set(subtrees(host, nodes, tops).values()))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """Hashes (``key``) of the subtrees that make each host's template."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[tuple[int, int], int] = {}
-            for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                host = host_of(url)
-                if host is None:
-                    continue
-                own = _host_key(host)
-                for pair in ((own, None), *((own, k) for k in keys_of(html, url))):
-                    counts[pair] = counts.get(pair, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in counts], pa.int64()), pa.array([p[1] for p in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["host", "key", "n"])
-
-    counted = map_batches(pages.select("url", "html"), run, "host long, key long, n long").groupBy("host", "key").agg(F.sum("n").alias("n"))
-    # both sides below come from one pass over the pages; rare subtrees are not written
-    counted = cut_lineage(counted.where(F.col("key").isNull() | (F.col("n") >= min_pages)))
-    often = counted.where(F.col("key").isNotNull())
-    hosts = counted.where(F.col("key").isNull()).select("host", F.col("n").alias("n_pages"))
-    return often.join(hosts, "host").where(F.col("n") >= min_share * F.col("n_pages")).select("key")
-
-
-def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+            found = {pair for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for pair in keys_of(html, url) if pair[1] is not None}
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["key", "beside"])
+
+    # pairs are made distinct before they are counted, so that a key of a large site is spread
+    pairs = map_batches(pages.select("url", "html"), run, "key long, beside long").distinct()
+    return pairs.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("key")
+
+
+def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """page_id, url, text, n_chars; one row per page."""
-    found = cut_lineage(templates(pages, min_pages, min_share))
+    found = cut_lineage(templates(pages, min_pages))
     pages = pages.select(F.col("page_id"), "url", "html")
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
 
@@ -282,7 +293,7 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([keys_of(h, u) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)], pa.list_(pa.int64()))], names=["row", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted({k for k, _ in keys_of(h, u)}) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)], pa.list_(pa.int64()))], names=["row", "keys"])
 
     row = F.xxhash64("url", "html").alias("row")
     own = map_batches(pages.select(row, "url", "html"), keyed, "row long, keys array<long>").dropDuplicates(["row"]).select("row", F.explode("keys").alias("key"))
