@@ -18,7 +18,7 @@ join on the hash, which gives the same rows.
 Defined cases: null html gives an empty text; a null or unreadable url has no
 host, so nothing of its template is removed; repeated rows count once and come
 back each; broken or truncated markup is read as far as it goes, an unfinished tag at
-the end is dropped; other columns are not read.
+the end is dropped; an end tag that matches nothing is passed over; other columns are not read.
 """
 
 from __future__ import annotations
@@ -46,7 +46,9 @@ RAW = frozenset("script style textarea title noscript iframe template xmp noembe
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre search section summary table tbody tfoot thead tr ul".split())
 CLOSES_P = BLOCKS - frozenset("body html caption tbody tfoot thead tr li dd dt option".split())
 DROPPED = frozenset("script style textarea title noscript iframe template xmp noembed noframes head nav aside footer form button select svg canvas object embed audio video menu dialog search input label".split())
-HINTS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr menu modal nav navbar navigation newsletter notice popup promo promoted related replies sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: An id or class says that an element goes if all its words are hints or, beside a hint, words of layout.
+LAYOUT = frozenset("area articles bar block body box button buttons bottom container content entry footer form global group header holder home icon icons inline inner item items left links list main middle module outer page panel post posts reader right row section sidebar signup site slot small stories strip text thread top unit user wide wrap wrapper".split())
+HINTS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr menu modal nav navbar navigation newsletter notice popup promo promoted related replies share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 HEADER_HINTS = frozenset("header masthead topbar".split())
 CONTAINERS = BLOCKS - frozenset("html body main article".split())
@@ -54,6 +56,17 @@ CONTAINERS = BLOCKS - frozenset("html body main article".split())
 IN_ARTICLE = CONTAINERS - frozenset("p h1 h2 h3 h4 h5 h6 li dd dt option tr tbody thead tfoot caption figcaption summary hr".split())
 
 
+#: What a start tag closes, group by group: tags of which only one is open within a scope, and the tags that start a new scope.
+SCOPES = (
+    (frozenset(["p"]), frozenset("article section div td th li blockquote body".split())),
+    (frozenset(["li"]), frozenset("ul ol dl table select body menu".split())),
+    (frozenset(["dd", "dt"]), frozenset("ul ol dl table select body menu".split())),
+    (frozenset(["tr"]), frozenset("ul ol dl table select body menu".split())),
+    (frozenset(["td", "th"]), frozenset("ul ol dl table select body menu tr".split())),
+    (frozenset(["option"]), frozenset("ul ol dl table select body menu".split())),
+)
+
+
 class Node:
     __slots__ = ("tag", "attrs", "parent", "items", "drop", "main")
 
@@ -62,56 +75,82 @@ class Node:
         self.drop = self.main = False
 
 
+class Open:
+    """The open elements. Every step up closes an element for good, and no walk is begun that won't end at an open one: reading is linear."""
+
+    def __init__(self) -> None:
+        self.root = self.node = Node("#root", "", None)
+        self.count: dict[str, int] = {}
+        self.scopes: list[list[int]] = [[0] for _ in SCOPES]
+
+    def enter(self, node: Node) -> None:
+        self.node = node
+        self.count[node.tag] = self.count.get(node.tag, 0) + 1
+        for (tags, stops), held in zip(SCOPES, self.scopes, strict=True):
+            if node.tag in stops:
+                held.append(0)
+            elif node.tag in tags:
+                held[-1] += 1
+
+    def leave(self) -> str:
+        """Closes the innermost element; its tag."""
+        tag = self.node.tag
+        self.count[tag] -= 1
+        for (tags, stops), held in zip(SCOPES, self.scopes, strict=True):
+            if tag in stops:
+                held.pop()
+            elif tag in tags:
+                held[-1] -= 1
+        self.node = self.node.parent
+        return tag
+
+    def end(self, tag: str) -> None:
+        """An end tag closes all up to its element; one that matches nothing is passed over."""
+        if self.count.get(tag):
+            while self.leave() != tag:
+                pass
+
+    def start(self, tag: str) -> None:
+        """A start tag closes the open element of its group in this scope; a block closes an open paragraph."""
+        for (tags, _), held in zip(SCOPES, self.scopes, strict=True):
+            if (tag in tags or (tag in CLOSES_P and "p" in tags)) and held[-1]:
+                while self.leave() not in tags:
+                    pass
+
+
 def parse(html: str) -> tuple[Node, list[Node]]:
     """The root, and all elements in page order. Nesting follows open elements; no recursion, so depth is free."""
-    root = node = Node("#root", "", None)
+    stack = Open()
     nodes, at, size = [], 0, len(html)
     while at < size:
         m = TOKEN.search(html, at)
         if m is None:
-            node.items.append(html[at:])
+            stack.node.items.append(html[at:])
             break
         if m.start() > at:
-            node.items.append(html[at : m.start()])
+            stack.node.items.append(html[at : m.start()])
         at = m.end()
         tag = m[2] or m[5]
         if not tag:
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            up = node
-            while up.tag not in (tag, "#root"):
-                up = up.parent
-            if up.tag == tag:
-                node = up.parent
+            stack.end(tag)
             continue
-        if tag in CLOSES_P:
-            node = _closed(node, ("p",), ("article", "section", "div", "td", "th", "li", "blockquote", "body"))
-        elif tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
-            same = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
-            node = _closed(node, same, ("ul", "ol", "dl", "table", "select", "body", "menu", *(("tr",) if tag in ("td", "th") else ())))
-        new = Node(tag, m[3] or m[6] or "", node)
-        node.items.append(new)
+        stack.start(tag)
+        new = Node(tag, m[3] or m[6] or "", stack.node)
+        stack.node.items.append(new)
         nodes.append(new)
         if tag in RAW:
             end = re.compile(rf"</{tag}[^>]*>", re.I).search(html, at)
             at = end.end() if end else size
         elif tag not in VOID and not new.attrs.endswith("/"):
-            node = new
+            stack.enter(new)
         elif tag not in VOID:  # HTML ignores the slash, but nothing is left open by pages that write it on purpose
             new.attrs = new.attrs[:-1]
-            node = new if tag in BLOCKS else node
-    return root, nodes
-
-
-def _closed(node: Node, tags: tuple[str, ...], stops: tuple[str, ...]) -> Node:
-    """The parent of the nearest open element of these tags, or node if a stop comes first."""
-    up = node
-    while up.parent is not None and up.tag not in stops:
-        if up.tag in tags:
-            return up.parent
-        up = up.parent
-    return up.parent if up.parent is not None and up.tag in tags else node
+            if tag in BLOCKS:
+                stack.enter(new)
+    return stack.root, nodes
 
 
 def attributes(attrs: str) -> dict[str, str]:
@@ -127,28 +166,35 @@ def said_to_go(node: Node, in_article: bool) -> bool:
     got = attributes(node.attrs)
     if got.get("role", "").lower() in ROLES or "hidden" in got or got.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", got.get("style", "")):
         return True
-    words = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{got.get('class', '')} {got.get('id', '')}").lower()))
-    return bool(words & HINTS) or (not in_article and bool(words & HEADER_HINTS))
+    hints = HINTS if in_article else HINTS | HEADER_HINTS
+    for name in f"{got.get('class', '')} {got.get('id', '')}".split():
+        words = {w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w}
+        if words & hints and words <= hints | LAYOUT:
+            return True
+    return False
 
 
 def content(nodes: list[Node]) -> list[Node]:
     """Marks elements that go (``drop``) and those in the main content (``main``); the main content's tops, in order."""
     tops: dict[str, list[Node]] = {"article": [], "main": []}
-    inside: dict[Node, str] = {}
+    inside: dict[Node, tuple[bool, bool]] = {}  # in an article, in a main element
     for n in nodes:
         up = n.parent
-        where = inside.get(up, "")
-        n.drop = up.drop or said_to_go(n, "article" in where or "main" in where)
+        article, main = inside.get(up, (False, False))
+        n.drop = up.drop or said_to_go(n, article or main)
         if not n.drop:
-            kind = "article" if n.tag == "article" else "main" if n.tag == "main" or (n.attrs and attributes(n.attrs).get("role") == "main") else ""
-            if kind:
-                if kind not in where:
-                    tops[kind].append(n)
-                where = f"{where} {kind}"
-        inside[n] = where
+            if n.tag == "article":
+                if not article:
+                    tops["article"].append(n)
+                article = True
+            elif n.tag == "main" or (n.attrs and "main" in n.attrs and attributes(n.attrs).get("role") == "main"):
+                if not main:
+                    tops["main"].append(n)
+                main = True
+        inside[n] = article, main
     kind = "article" if tops["article"] else "main"
     for n in nodes:
-        n.main = kind in inside[n]
+        n.main = inside[n][kind == "main"]
     return tops[kind]
 
 
