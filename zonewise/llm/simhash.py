@@ -35,8 +35,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import as_bytes, cut_lineage, map_batches
+from .common import as_bytes, cut_lineage, map_batches, shared_folder
 
 BITS, RADIUS, SEED, SHINGLE = 64, 3, 42, 3
 HOT_BUCKET = 4096
@@ -201,12 +202,17 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def groups(nodes: DataFrame) -> DataFrame:
+    """fp and root (its component's least fingerprint) of distinct ``fp`` values."""
+    joined = components(links(nodes))
+    return nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id (least doc_id reachable, itself included); one row per input row."""
     prints = cut_lineage(fingerprints(docs, id_col, text_col))
     nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    joined = components(links(nodes))
-    roots = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    roots = groups(nodes.select("fp")).join(nodes, "fp")
     # written, so that no aggregate stands under the join: adaptive execution can then split the rows of a large component
     named = cut_lineage(roots.groupBy("root").agg(F.min("least_id").alias("component_id")))
     known = roots.join(named, "root").select("fp", "component_id")
@@ -218,8 +224,26 @@ def hex_digits(fp: str = "fp") -> F.Column:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each near-duplicate group: that of the least doc_id. Rows with a null id stay."""
-    groups = near_duplicates(docs, id_col, text_col)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    rows = docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi").dropDuplicates([id_col])
-    return rows.unionByName(docs.where(F.col(id_col).isNull()))
+    """docs with exactly one row of each near-duplicate group: that of the least id, nulls last; of rows with this id
+    the one with the least hash of its text, and of equal ones the first as written.
+
+    Rows are told apart by a number that is written with them once, never by their ids: rows that share an
+    id but not a group each stay.
+    """
+    spark, taken = docs.sparkSession, {c.lower() for c in docs.columns}
+    fp, row = (next(n for n in (f"{name}{'_' * k}" for k in range(99)) if n not in taken) for name in ("fp", "row"))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = pa.array([fingerprint(x.as_py()) for x in batch.column(at).cast(pa.binary())], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, fp])
+
+    folder = shared_folder(spark)
+    map_batches(docs, run, StructType([*docs.schema.fields, StructField(fp, LongType())])).withColumn(row, F.monotonically_increasing_id()).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    order = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(row).alias("row"))
+    # first by fingerprint, before the join: exact copies cost one row per map task
+    nodes = cut_lineage(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("first")))
+    kept = groups(nodes.select("fp")).join(nodes, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_kept"))
+    return rows.join(kept, rows[row] == kept["_kept"], "left_semi").select(*docs.columns)
