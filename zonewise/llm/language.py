@@ -14,9 +14,10 @@ binary search. The arrays hold every n-gram seen, so they grow with the corpus.
 A text gets the language with the least cross-entropy per character. Its score is
 the calibrated probability of the winner; rejection marks texts whose
 cross-entropy is above what ``REJECT`` of a bounded sample of the language's own
-training texts reach.
+texts reach. This sample is left out of the counts, except for a language that
+has no other text.
 
-Defined cases: a null text or one without a letter is "und" with score 0; texts
+Defined cases: a null text or one without a letter (marks are none) is "und" with score 0; texts
 of documents with a null lang are not learned from; without any training text all
 are "und"; repeated rows each come back; other columns are not read.
 """
@@ -40,8 +41,8 @@ POINT_BITS = 21
 #: Code points, 0 for the boundary; single letters are the n-grams of order 1.
 CLASSES = GRAMS = 0x110000
 UNKNOWN = "und"
-#: Training texts that calibrate scores and rejection: those with the least hash of their doc_id.
-CALIBRATION_ROWS, REJECT = 2_000, 0.995
+#: Texts that calibrate scores and rejection: one in CALIBRATION_SHARE, by a hash of their doc_id, the least hashes first.
+CALIBRATION_ROWS, CALIBRATION_SHARE, REJECT = 2_000, 20, 0.995
 #: Code points turned into n-grams at once.
 CHUNK = 1 << 20
 #: Distinct n-grams that a counting task holds before it hands them on, and rows of its batches.
@@ -59,6 +60,15 @@ def letters() -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def is_letter() -> np.ndarray:
+    """By class: whether it is a letter and no mark."""
+    own = letters()
+    out = np.zeros(CLASSES, bool)
+    out[[c for c in np.unique(own).tolist() if unicodedata.category(chr(c))[0] == "L"]] = True
+    return out
+
+
 def hashed(windows: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each row."""
     h = np.full(len(windows), windows.shape[1], np.uint64)
@@ -254,7 +264,7 @@ class Identifier:
         for at, part in batches_of(texts):
             windows, ends = grams(part)
             begin = np.concatenate(([0], ends[:-1]))
-            known = np.concatenate(([0], np.cumsum(windows[:, -1] > 0)))
+            known = np.concatenate(([0], np.cumsum(is_letter()[windows[:, -1]])))
             has = known[ends] > known[begin]
             # each n-gram of the chunk is looked up once
             order, starts, sizes = distinct(hashed(windows))
@@ -289,19 +299,27 @@ class Identifier:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", calibration_rows: int = CALIBRATION_ROWS) -> Identifier | None:
-    """Models from all given documents. The counts of one language at a time and the calibration sample reach the driver."""
-    counted = cut_lineage(counts(docs, lang_col, text_col))
+    """Models from all given documents but the calibration sample. The counts of one language at a time and the sample reach the driver."""
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    # ids first, so that no text is sorted; entropies are taken where the texts are
+    turn = F.xxhash64("id")
+    some = rows.select("id").where(F.pmod(turn, F.lit(CALIBRATION_SHARE)) == 0).distinct().orderBy(turn, "id").limit(calibration_rows)
+    ids = F.broadcast(cut_lineage(some))
+    sample = rows.join(ids, "id", "left_semi")
+    counted = cut_lineage(counts(rows.join(ids, "id", "left_anti"), "lang", "text"))
+    learned = {lang for (lang,) in counted.select("lang").distinct().collect()}
+    only = {lang for (lang,) in sample.select("lang").distinct().collect()} - learned
+    if only:
+        counted = cut_lineage(counted.unionByName(counts(sample.where(F.col("lang").isin(sorted(only))), "lang", "text")))
     models = {}
-    for (lang,) in counted.select("lang").distinct().collect():
+    for lang in sorted(learned | only):
         got = counted.where(F.col("lang") == lang).select("head", "tail", "n").toArrow()
         head, tail, n = (c.to_numpy() for c in got.columns)
-        models[lang] = Model(unpack(head, tail), n)
+        if n.size:
+            models[lang] = Model(unpack(head, tail), n)
     if not models:
         return None
     out = Identifier(models)
-    sample = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    # ids first, so that no text is sorted; entropies are taken where the texts are
-    ids = F.broadcast(sample.select("id").orderBy(F.xxhash64("id"), "id").limit(calibration_rows).distinct())
     sent = docs.sparkSession.sparkContext.broadcast(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +327,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_
             h = sent.value.entropies(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(h), pa.list_(pa.float64()))], names=["id", "lang", "h"])
 
-    rows = map_batches(sample.join(ids, "id", "left_semi").select("id", "lang", "text"), run, "id string, lang string, h array<double>").groupBy("id").agg(F.min(F.struct("lang", "h")).alias("x"))
+    rows = map_batches(sample.where(F.col("lang").isin(out.names)).select("id", "lang", "text"), run, "id string, lang string, h array<double>").groupBy("id").agg(F.min(F.struct("lang", "h")).alias("x"))
     got = sorted((r["x"]["lang"], r["x"]["h"]) for r in rows.collect())
     out.calibrate(np.array([h for _, h in got]).reshape(len(got), len(out.names)), [x for x, _ in got])
     return out
