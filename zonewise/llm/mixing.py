@@ -10,7 +10,7 @@ training position. Copies that are never due are not taken.
 Targets share ``share`` of all words by weight; one stops at ``repeat`` times its
 source's words, and the excess goes to the others by weight until none is above.
 With the sources sorted by (limit / weight), the stopped ones come first, so one
-running sum over the table of sources settles it.
+running sum over the table of sources settles it; it is taken range by range.
 
 Running sums never hold a source in one task: documents are bucketed by source
 and hash, summed by bucket, and each bucket gets the sum of those before it, in two
@@ -50,23 +50,37 @@ def _invert(u: F.Column, knots: tuple[tuple[float, float], ...]) -> F.Column:
     return out
 
 
+def running(rows: DataFrame, order: F.Column, **sums: str) -> DataFrame:
+    """rows with the sums of columns over all earlier rows in this order (no ties), as columns by these names.
+
+    Rows are dealt out by range; one row per range reaches the driver, and no task sees more than its range.
+    """
+    dealt = cut_lineage(rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    ahead, table = dict.fromkeys(sums, 0), []
+    for r in sorted(dealt.groupBy("_range").agg(*[F.sum(c).alias(name) for name, c in sums.items()]).collect()):
+        table.append((r["_range"], *ahead.values()))
+        ahead = {name: ahead[name] + (r[name] or 0) for name in sums}
+    before = rows.sparkSession.createDataFrame(table, "_at int, " + ", ".join(f"_{n} long" for n in sums))
+    within = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = dealt.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(name) for name, c in sums.items()])
+    dealt = dealt.join(F.broadcast(before), dealt["_range"] == before["_at"])
+    return dealt.select(*rows.columns, *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in sums])
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat: int = REPEAT, share: float = SHARE) -> DataFrame:
-    """sizes (source, source_size) with rank, weight and target. One row per source, not per document."""
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    """sizes (source, source_size) with rank, weight and target. Sources may be many: they are ranked and summed by ranges."""
+    ranked = running(sizes.withColumn("_one", F.lit(1)), F.col("source").asc_nulls_last(), rank="_one").drop("_one")
     cycle = F.array(*[F.lit(w) for w in weights])
-    ranked = ranked.withColumn("weight", F.element_at(cycle, (F.col("rank") % len(weights)) + 1).cast("long"))
-    limit = F.lit(repeat) * F.col("source_size")
-    by_ratio = Window.orderBy(limit / F.col("weight"), "rank")
-    before, after = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total = F.sum("source_size").over(every)
-    shared = total if share == 1.0 else total * share
-    ranked = ranked.select("*", shared.alias("_total"), F.coalesce(F.sum(limit).over(before), F.lit(0)).alias("_below"), F.sum("weight").over(after).alias("_weights"))
-    stopped = limit.cast("double") * F.col("_weights") <= (F.col("_total") - F.col("_below")).cast("double") * F.col("weight")
+    ranked = ranked.withColumn("weight", F.element_at(cycle, ((F.col("rank") % len(weights)) + 1).cast("int")).cast("long"))
+    ranked = ranked.withColumn("_limit", F.lit(repeat) * F.col("source_size"))
+    by_ratio = F.struct(F.col("_limit") / F.col("weight"), "rank").asc()
+    ranked = cut_lineage(running(ranked, by_ratio, _below="_limit", _lighter="weight"))
+    total, weighing = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    total = total if share == 1.0 else total * share
+    stopped = F.col("_limit").cast("double") * (F.lit(weighing) - F.col("_lighter")) <= (F.lit(total) - F.col("_below")).cast("double") * F.col("weight")
     ranked = ranked.withColumn("_stopped", stopped)
-    rest = F.col("_total") - F.coalesce(F.sum(F.when(F.col("_stopped"), limit)).over(every), F.lit(0))
-    open_weights = F.sum(F.when(~F.col("_stopped"), F.col("weight"))).over(every)
-    target = F.when(F.col("_stopped"), limit.cast("double")).otherwise(rest * F.col("weight") / open_weights)
+    taken, open_weights = ranked.agg(F.coalesce(F.sum(F.when(F.col("_stopped"), F.col("_limit"))), F.lit(0)), F.sum(F.when(~F.col("_stopped"), F.col("weight")))).first()
+    target = F.when(F.col("_stopped"), F.col("_limit").cast("double")).otherwise(F.lit(total - taken) * F.col("weight") / F.lit(open_weights))
     return ranked.select("source", "source_size", "rank", "weight", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
