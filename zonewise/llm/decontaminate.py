@@ -5,8 +5,8 @@ of adjacent words. Each document's words stream through it; the automaton keeps
 the longest suffix read so far that occurs in an item. Wherever that length
 reaches ``WINDOW`` words, or a whole item that is shorter, the words are hit.
 
-The automaton is sent to the workers. Its size follows the benchmark, not the
-documents, and is checked: items are packed into automata of at most
+The automaton is sent to the workers, as sorted arrays of about 70 bytes a word.
+Its size follows the benchmark, not the documents, and is checked: items are packed into automata of at most
 ``max_words`` words each, and the documents stream through one after the other
 in a chain of map steps, so each worker holds one of bounded size and no item is
 left out.
@@ -16,15 +16,17 @@ words. ``remove_spans`` cuts the hit spans out of such documents and leaves all
 others as they are.
 
 Defined cases: a null or word-less text has no words and no hits; null or
-word-less items make no window; items with equal ids count once; repeated
+word-less items make no window; items with equal ids count once; a null id is named
+by the empty string; repeated
 documents each come back; empty tables give empty results or no hits; further
 columns are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -59,13 +61,14 @@ class Automaton:
             last = 0
             for c in seq:
                 last = self._extend(last, c)
+        self._pack()
         n = len(self.len)
         #: The state of a reading's last ``window`` words, by state; -1 below that length.
-        self.full = [-1] * n
-        #: Items by state: of the windows that end there.
-        self.of: dict[int, set[str]] = {}
-        self.short: list[tuple] = [()] * n
+        self.full = array("i", [-1]) * n
+        of: dict[int, set[int]] = {}
         own: dict[int, dict[int, set[str]]] = {}
+        self.names = sorted({item for item, _ in seqs})
+        number = {name: i for i, name in enumerate(self.names)}
         order = sorted(range(n), key=self.len.__getitem__)
         for s in order[1:]:
             up = self.link[s]
@@ -76,11 +79,38 @@ class Automaton:
             for c in seq:
                 s, length = self.step(s, length, c)
                 if length >= window:
-                    self.of.setdefault(self.full[s], set()).add(item)
+                    of.setdefault(self.full[s], set()).add(number[item])
             if len(seq) < window:
                 own.setdefault(s, {}).setdefault(len(seq), set()).add(item)
+        #: Items of the windows that end in a state: numbers in ``of_item``, from ``of_first`` of the state to that of the next.
+        self.of_first, self.of_item = array("i", [0]), array("i")
+        for s in range(n):
+            self.of_item.extend(sorted(of.pop(s, ())))
+            self.of_first.append(len(self.of_item))
+        #: Whole items below the window that end in a state, longest first; states without any are left out.
+        self.short: dict[int, tuple] = {}
         for s in order[1:]:
-            self.short[s] = (*((k, frozenset(v)) for k, v in sorted(own.get(s, {}).items(), reverse=True)), *self.short[self.link[s]])
+            shorter = self.short.get(self.link[s], ())
+            if s in own:
+                shorter = (*((k, frozenset(v)) for k, v in sorted(own[s].items(), reverse=True)), *shorter)
+            if shorter:
+                self.short[s] = shorter
+
+    def _pack(self) -> None:
+        """Edges as sorted arrays: words in ``word``, states in ``to``, those of a state from ``first`` of it to that of the next."""
+        self.first, self.word, self.to = array("i", [0]), array("i"), array("i")
+        for s, edges in enumerate(self.next):
+            for c in sorted(edges):
+                self.word.append(c)
+                self.to.append(edges[c])
+            self.first.append(len(self.word))
+            self.next[s] = None  # a state's dictionary goes as soon as it is packed
+        del self.next
+        self.link, self.len = array("i", self.link), array("i", self.len)
+
+    def nbytes(self) -> int:
+        """Bytes of the arrays; the words themselves come on top."""
+        return sum(len(x) * x.itemsize for x in (self.first, self.word, self.to, self.link, self.len, self.full, self.of_first, self.of_item))
 
     def _extend(self, last: int, c: int) -> int:
         nxt, link, length = self.next, self.link, self.len
@@ -114,13 +144,16 @@ class Automaton:
         return copy
 
     def step(self, s: int, length: int, c: int) -> tuple[int, int]:
-        edges = self.next
-        while c not in edges[s]:
+        word, first = self.word, self.first
+        while True:
+            end = first[s + 1]
+            at = bisect_left(word, c, first[s], end)
+            if at < end and word[at] == c:
+                return self.to[at], length + 1
             if s == 0:
                 return 0, 0
             s = self.link[s]
             length = self.len[s]
-        return edges[s][c], length + 1
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str], int]:
         """Hit word spans (start, end), items with occurring windows, the longest matching length."""
@@ -130,6 +163,7 @@ class Automaton:
         # a word of no item ends every match: only runs of known words that can hold a window are read
         edge = np.flatnonzero(np.diff(np.concatenate(([False], ids >= 0, [False])).astype(np.int8)))
         spans, items, longest = [], set(), 0
+        ended: set[int] = set()
         for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             if j - i < self.shortest:
                 continue
@@ -142,8 +176,8 @@ class Automaton:
                 size = 0
                 if length >= self.window:
                     size = self.window
-                    items |= self.of[self.full[s]]
-                for k, found in self.short[s]:
+                    ended.add(self.full[s])
+                for k, found in self.short.get(s, ()):
                     if k <= length:
                         items |= found
                         size = max(size, k)
@@ -154,6 +188,8 @@ class Automaton:
                         spans[-1] = (spans[-1][0], at)
                     else:
                         spans.append((at - size, at))
+        for s in ended:
+            items.update(self.names[i] for i in self.of_item[self.of_first[s] : self.of_first[s + 1]])
         return spans, items, longest
 
 
