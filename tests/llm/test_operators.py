@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from zonewise.llm import chat, decontaminate, html, importance, language, licenses, mixing, pii, rules, simhash
+from zonewise.llm import chat, decontaminate, html, language, licenses, mixing, pii, rules, simhash
 from zonewise.llm.sql import ORACLES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -41,6 +41,31 @@ def test_mix_equals_sql(docs, sf):
     assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str)
 
 
+def test_many_sources_equal_brute_force(spark):
+    """Targets against sharing out round by round; sources are ranked and summed by ranges."""
+    from fractions import Fraction
+
+    r = np.random.default_rng(3)
+    names = [None, *(f"s{k}" for k in range(300)), "é", ""]
+    sizes = [(s, int(r.integers(0, 50) ** 3)) for s in names]
+    got = {x["source"]: x for x in mixing.targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
+    ranked = sorted(sizes, key=lambda x: (x[0] is None, (x[0] or "").encode()))
+    weight = {s: (5, 2, 1)[k % 3] for k, (s, _) in enumerate(ranked)}
+    left, stopped = Fraction(sum(n for _, n in sizes)), {}
+    while True:
+        still = [(s, n) for s, n in sizes if s not in stopped]
+        total = sum(weight[s] for s, _ in still)
+        over = [(s, n) for s, n in still if left * weight[s] / total >= 3 * n]
+        if not over:
+            break
+        for s, n in over:
+            stopped[s] = Fraction(3 * n)
+        left -= sum(3 * n for _, n in over)
+    for s, _ in sizes:
+        want = stopped.get(s, left * weight[s] / max(total, 1))
+        assert abs(got[s]["target"] - float(want)) <= 1e-9 * float(want) and got[s]["weight"] == weight[s]
+
+
 def test_mix_meets_targets(spark):
     rows = [(i, "w " * (1 + i % 9), s) for s, n in (("a", 30), ("b", 400), (None, 3), ("c", 200)) for i in range(n)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), bucket_rows=20)
@@ -185,6 +210,51 @@ def test_recurring_parts_of_articles_go(spark):
         assert [by[1000 + i] for i in range(1000)] == [f"Own {i}" for i in range(1000)], "4 % of a host"
 
 
+def test_words_of_ids_keep_article_text(spark):
+    kept = ['<section id="related-work"><p>kept 1</p></section>', '<p class="ad-hoc">kept 2</p>', '<div class="comment-free notice-period"><p>kept 3</p></div>', "<header><h1>kept 4</h1></header>"]
+    gone = ['<div class="ad">no</div>', '<div class="comment-list">no</div>', '<div id="newsletterSignup">no</div>', '<ul class="x nav-links"><li>no</ul>', '<div class="cookie_banner">no</div>']
+    (row,) = html.main_text(spark.createDataFrame([(1, "http://a.org", f"<article>{''.join(kept + gone)}</article>")], "page_id long, url string, html string")).collect()
+    assert row["text"] == "kept 1\nkept 2\nkept 3\nkept 4"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "</b>" * 20_000, "<article>" * 8_000 + "x", "<li><ul>" + "<div>" * 20_000 + "<li></li>" * 20_000, "<p>" + "<b>" * 20_000 + "<p>x" * 20_000, "<td>" + "<b>" * 20_000 + "<div></div>" * 20_000, "<" * 100_000, "<a b=" * 30_000, "&" * 200_000])
+def test_broken_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html.extract(page, "http://a.org", lambda keys: np.zeros(keys.size, bool))
+    assert time.process_time() - began < 5
+
+
+def test_repeated_pages_keep_their_text(spark):
+    rows = [(i, "http://a.org/", "<body><div><p>One story</p></div><div>Its end</div></body>") for i in range(30)]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in got} == {"One story\nIts end"} and len(got) == 30
+
+
+def test_templates_equal_brute_force(spark):
+    """Which blocks go, counted page by page: those beside at least MIN_PAGES different texts of their host."""
+    r = np.random.default_rng(4)
+    boxes = [f"<section><p>box {k}</p></section>" for k in range(12)]
+    pages, beside = [], {}
+    for i in range(150):
+        host, story = f"h{i % 3}.org", f"<p>story {int(r.integers(0, 40))} {'long ' * 40}</p>"
+        own = [b for k, b in enumerate(boxes) if r.random() < (k + 1) / 60]
+        pages.append((i, f"http://{host}/{i}", "<article>" + story + "".join(own) + "</article>"))
+        for b in own:  # the article's text without this box
+            beside.setdefault((host, b), set()).add((story, *(x for x in own if x != b)))
+    got = {x["page_id"]: x["text"] for x in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    went = 0
+    for i, url, page in pages:
+        host = url.split("/")[2]
+        stay = page
+        for b in boxes:
+            if b in page and len(beside[host, b]) >= html.MIN_PAGES:
+                stay, went = stay.replace(b, ""), went + 1
+        assert got[i] == "\n".join(x.strip() for x in re.sub(r"<[^>]*>", "\n", stay).split("\n") if x.strip())
+    assert 100 < went
+
+
 def test_articles_of_pages(spark, sf):
     import html as entities
 
@@ -305,6 +375,22 @@ def test_language_hold_out(spark):
     assert held == {r["doc_id"] for r in docs.select("doc_id").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1}
 
 
+def test_marks_alone_are_no_letters(spark):
+    rows = [(i, t, "en") for i, t in enumerate(["some words here", "\u0301\u0300", "a\u0301", "1 \u0301 2"])]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {0: "en", 1: "und", 2: "en", 3: "und"}
+
+
+def test_calibration_is_held_out(spark):
+    """Texts of the calibration sample aren't counted, unless their language has no other."""
+    rows = [(i, chr(0x4E00 + i) * 3, "zh") for i in range(400)] + [(1000, "only one", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = {r["doc_id"] for r in df.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(language.CALIBRATION_SHARE)) == 0).collect()}
+    model = language.train(df)
+    assert model.names == ["en", "zh"] and 0 < len(sample - {1000}) < 60
+    assert model.models[1].grams[0].size == 400 - len(sample - {1000}) + 1  # letters, and the boundary
+
+
 def test_undetermined(edge):
     got = {(r["doc_id"], r["lang_pred"], r["score"]) for r in language.identify(edge).collect()}
     assert {(2, "und", 0.0), (3, "und", 0.0), (4, "und", 0.0), (6, "und", 0.0)} <= got
@@ -369,56 +455,6 @@ def test_field_on_long_stretches():
     assert pii.all_spans("9" * 300_000, pii.trained()) == ([], [])
 
 
-# importance
-
-
-def test_selects_like_the_target(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    got = importance.resample(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id")
-    assert got.where("quality = 1 AND selected").count() >= 0.98 * got.where("quality = 1").count()
-    assert got.where("quality = 0 AND NOT selected").count() >= 0.95 * got.where("quality = 0").count()
-    some = importance.resample(docs, labels, k=100)
-    assert some.where("selected").count() == 100
-    worst = some.where("selected").agg(F.min("gumbel_key")).first()[0]
-    assert some.where(F.col("gumbel_key") > worst).count() == 99
-    assert {r["doc_id"] for r in importance.select(docs, labels, k=100).collect()} == {r["doc_id"] for r in some.where("selected").collect()}
-
-
-def test_few_harmful_words_reject_a_text_of_any_length(spark):
-    r = np.random.default_rng(5)
-    vocabulary = ["".join(r.choice(list("aeioulmnrst"), 6)) for _ in range(3000)]
-    rows, labels = [], []
-    for i in range(2400):
-        n = int(r.choice([40, 200, 900]))
-        words = list(r.choice(vocabulary, n))
-        harmful = i % 8 == 0
-        if harmful:  # two words of a head of their own in a short text, one in a hundred words in longer ones
-            for at in r.choice(n, max(2, n // 100), replace=False):
-                words[at] = "zqzq" + "".join(r.choice(list("aeiou"), 3))
-        rows.append((i, " ".join(words)))
-        if i % 5 < 2:
-            labels.append((i, 1, int(harmful)))
-    got = importance.resample(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
-    by = {r["doc_id"]: r["selected"] for r in got.where("doc_id % 5 >= 2").collect()}  # none of these is labelled
-    assert sum(v for k, v in by.items() if k % 8) >= 0.995 * sum(1 for k in by if k % 8)
-    assert sum(not v for k, v in by.items() if k % 8 == 0) >= 0.98 * sum(1 for k in by if k % 8 == 0)
-
-
-def test_kth_largest(spark):
-    r = np.random.default_rng(3)
-    q = [int(x) for x in r.integers(-(10**12), 10**12, 500)] + [5] * 50
-    df = spark.createDataFrame([(x,) for x in q], "q long")
-    for k in (1, 2, 250, 550):
-        assert importance.kth_largest(df, k) == sorted(q, reverse=True)[k - 1]
-    assert importance.kth_largest(df, 0) is None
-
-
-def test_raw_model_counts_every_document(spark):
-    docs = spark.createDataFrame([(i, f"word{i} again") for i in range(50)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int")
-    assert np.allclose(importance.log_ratios(docs, labels), 0)
-
-
 # near duplicates
 
 
@@ -477,6 +513,16 @@ def test_links_lose_no_pair(spark, hot):
     assert [root[p] for p in prints] == [prints[i] for i in brute_components(prints)]
 
 
+def test_keep_one_keeps_one_row_of_each_group(spark):
+    texts = ["the quick brown fox jumps over the lazy dog again and again", "completely other words stand in this second text of ours here", "a third one that has nothing to do with any of the others at all"]
+    rows = [(1, texts[0], 1), (1, texts[1], 2), (2, texts[2], 3), (3, texts[2], 4), (None, texts[0], 5), (None, "nobody else says these words in this order at any time", 6), (None, "nobody else says these words in this order at any time", 7), (4, texts[1], 8), (4, texts[1], 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp int")
+    got = [tuple(r) for r in simhash.keep_one(df).collect()]
+    assert sorted(r[2] for r in got if r[0] is not None) == [1, 2, 3]
+    assert [r[1] for r in got if r[0] is None] == [rows[5][1]]
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
 def test_near_duplicates(docs):
     rows = docs.collect()
     prints = [brute_print(r["text"]) for r in rows]

@@ -11,7 +11,8 @@ Learning reads the statistics of at most ``MAX_LABELS`` labelled rows (those wit
 the least hash of their doc_id); the statistics and the verdict cover all rows.
 
 Defined cases: a null or blank text has no words, so it fails the base rule;
-repeated rows each come back; labels of unknown documents or with a null quality
+repeated rows each come back, and of labelled rows with one id that with the least
+statistics is learned from; labels of unknown documents or with a null quality
 are ignored; without bad labels the list is empty and every row that passes the
 base rule is kept; other columns are not read.
 """
@@ -173,7 +174,9 @@ def learn_from(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS,
     sample = F.broadcast(sample_labels(labels, max_labels).withColumnRenamed("doc_id", "_labelled"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ids = F.broadcast(sample.select("_labelled").distinct())
-    known = measure(rows.join(ids, rows["doc_id"] == ids["_labelled"], "left_semi")).where(~base_failed()).dropDuplicates(["doc_id"])
+    known = measure(rows.join(ids, rows["doc_id"] == ids["_labelled"], "left_semi")).where(~base_failed())
+    # rows that share an id: the one with the least statistics, whatever the order of reading
+    known = known.groupBy("doc_id").agg(F.min(F.struct(*STATS)).alias("x")).select("doc_id", "x.*")
     known = known.join(sample, known["doc_id"] == sample["_labelled"])
     got = known.select("doc_id", "quality", *[e(F.col).cast("double").alias(k) for k, e in FEATURES.items()]).toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
     if not got.num_rows:
