@@ -125,8 +125,8 @@ def features(text: str, start: int, end: int, n_words: int, left: str, right: st
         out.append(f"luhn={luhn(digits)},{n_words}")
     if "@" in s:
         out.append(f"at={bool(re.fullmatch(r'[^@ ]+@[^@ ]+[.][A-Za-z0-9-]+', s))}")
-    if re.fullmatch(r"\S+ ?[\[(]?(at|AT)[\])]? ?\S+( ?[\[(]?(dot|DOT)[\])]? ?\S+)+", s):
-        out.append("spelled")
+    if m := re.fullmatch(r"\S+(?: dot \S+)* ?[\[(]?(?:at|AT)[\])]? ?\S+( ?[\[(]?(?:dot|DOT)[\])]? ?\S+)+", s):
+        out += ["spelled", f"spelled={right.lower()[:3] if right.lower() in ('dot', 'at') else ''},{tail[:4].lower()}"]
     if s.count(".") == 3 and re.fullmatch(r"[0-9.]+", s):
         out.append(f"quad={all(len(p) <= 3 and int(p or 0) <= 255 for p in s.split('.'))}")
     if re.fullmatch(r"[0-9A-Fa-f:]+", s) and s.count(":") >= 2:
@@ -142,7 +142,7 @@ def features(text: str, start: int, end: int, n_words: int, left: str, right: st
             out.append(f"{name}={letters > 0}")
             out.append(f"{name},{head},{n_words}")
     if "=" in s or ":" in s:
-        out.append(f"key={head},{len(tail) > 7}")
+        out += [f"key={head}", f"key={head},{len(tail) > 7}"]
     out.append(f"edge={text[end - 1].isalnum()},{s[0] if not s[0].isalnum() else 'x'}")
     return out
 
@@ -159,7 +159,7 @@ def lattice(text: str, words: list[tuple[int, int]]) -> list[list[tuple[int, int
     said = [text[a:b].lower().strip("[]()") for a, b in words]
     for i in range(len(words)):
         left = text[slice(*words[i - 1])] if i else "^"
-        spelled = i + 1 < len(words) and said[i + 1] == "at"
+        spelled = i + 1 < len(words) and (said[i + 1] == "at" or (said[i + 1] == "dot" and said[i + 3 : i + 4] in (["at"], ["dot"])))
         for j in range(i, min(len(words), i + MAX_WORDS)):
             if j > i + 1 and not spelled and not hot[j - 1] and said[j - 1] not in ("=", ":"):
                 break  # a plain word inside can't be part of an entity
@@ -324,14 +324,14 @@ def samples(n: int, seed: int = 7) -> list[tuple[str, list[Span]]]:
     def email() -> str:
         name = r.choice([f"{word()}.{digits(2)}", word(), f"{word()}_{word()}"])
         host = f"{word()}.{r.choice(['com', 'org', 'example.com', 'net'])}"
-        return r.choice([f"{name}@{host}"] * 4 + [f"{word()} at {word()} dot com", f"{word()} [at] {word()} [dot] org"])
+        return r.choice([f"{name}@{host}"] * 4 + [f"{word()} at {word()} dot com", f"{word()} [at] {word()} [dot] org", f"{word()} dot {word()} at {word()} dot {r.choice(['com', 'org', 'net'])}"])
 
     def phone() -> str:
         a, b, c = digits(3), digits(3), digits(4)
         return r.choice([f"+1 ({a}) {b}-{c}"] * 4 + [f"({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{r.randint(20, 99)} {digits(2)} {digits(4)} {digits(4)}", f"+1-{a}-{b}-{c}", f"+{r.randint(20, 99)} {digits(3)} {digits(6)}"])
 
     def secret() -> str:
-        return r.choice([f"AKIA{pick(16, base32)}", f"password={pick(18, hexa)}", f'token = "{pick(40, hexa)}"', f"api_key: {pick(32, hexa)}", f"secret={pick(20, low + '0123456789')}", f"sk-{pick(32, low + base32)}", f"ghp_{pick(36, low + base32)}"])
+        return r.choice([f"AKIA{pick(16, base32)}", f"password={pick(18, hexa)}", f'token = "{pick(40, hexa)}"', f"api_key: {pick(32, hexa)}", f"secret={pick(20, low + '0123456789')}", f"{r.choice(['password', 'Password', 'passwd', 'pwd'])}{r.choice([': ', '=', ' = '])}{word()}{digits(r.randint(1, 4))}", f"{r.choice(['password', 'Password'])}: {word()}{digits(r.randint(1, 3))}", f"sk-{pick(32, low + base32)}", f"ghp_{pick(36, low + base32)}"])
 
     make = {
         "email": email,
@@ -345,7 +345,7 @@ def samples(n: int, seed: int = 7) -> list[tuple[str, list[Span]]]:
     other = [
         lambda: f"{r.randint(1900, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", lambda: f"{r.randint(1, 28)}/{r.randint(1, 12)}/{r.randint(1990, 2030)}", lambda: f"{r.randint(0, 23)}:{r.randint(0, 59):02}", lambda: f"${r.randint(1, 999)}.{digits(2)}",
         lambda: f"{r.randint(0, 20)}.{r.randint(0, 20)}.{r.randint(0, 20)}", lambda: f"{r.randint(0, 9)}.{r.randint(0, 20)}", lambda: str(r.randint(1900, 2030)), lambda: digits(r.randint(1, 8)), lambda: f"#{digits(r.randint(3, 8))}", lambda: f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}",
-        lambda: f"{r.randint(1, 999)},{digits(3)},{digits(3)}", lambda: f"{r.randint(1, 99)}%", lambda: f"{word()}{digits(1)}", lambda: f"@{word()}", lambda: f"{digits(3)} {digits(3)}", lambda: f"{digits(2)}-{digits(2)}", lambda: f"x={digits(2)}", lambda: f"{word()} at {word()}", lambda: pick(3, "ABC") + digits(3), lambda: f"{r.randint(300, 999)}.{r.randint(256, 999)}.{byte()}.{byte()}",
+        lambda: f"{r.randint(1, 999)},{digits(3)},{digits(3)}", lambda: f"{r.randint(1, 99)}%", lambda: f"{word()}{digits(1)}", lambda: f"@{word()}", lambda: f"{digits(3)} {digits(3)}", lambda: f"{digits(2)}-{digits(2)}", lambda: f"x={digits(2)}", lambda: f"{word()} at {word()}", lambda: pick(3, "ABC") + digits(3), lambda: f"{word()}: {word()}{digits(r.randint(1, 4))}", lambda: f"{word()} me at", lambda: f"{r.randint(300, 999)}.{r.randint(256, 999)}.{byte()}.{byte()}",
         lambda: next(s for s in iter(lambda: r.choice("3456") + digits(15), None) if not luhn(s)),
     ]
     out = []
@@ -379,6 +379,9 @@ BLOCK = 256
 NEAR = re.compile(r"[0-9@]|(?<=[\s\[(])(?:at|AT)(?=[\s\])])(?=.{1,60}?[\s\[(](?:dot|DOT)[\s\])])")
 
 
+SPELLED = re.compile(r"[\])]?\s+\S{1,60}(?:\s+[\[(]?(?:dot|DOT)[\])]?\s+\S{1,60}){1,4}")
+
+
 def field_spans(text: str, field: Field) -> list[Span]:
     """The field's spans: only stretches of words around a digit or an at-sign are read."""
     windows: list[list[tuple[int, int]]] = []
@@ -390,6 +393,9 @@ def field_spans(text: str, field: Field) -> list[Span]:
         while start > 0 and not text[start - 1].isspace():
             start -= 1
         word = WORD.match(text, start)
+        # an address that is spelled out goes on after its "at"
+        said = SPELLED.match(text, m.end()) if m[0] in ("at", "AT") else None
+        more = [w.span() for w in WORD.finditer(text, word.end(), said.end())] if said else []
         before: list[tuple[int, int]] = []
         at = start
         for _ in range(MARGIN):
@@ -404,10 +410,10 @@ def field_spans(text: str, field: Field) -> list[Span]:
             before.insert(0, (first, stop))
             at = first
         if windows and (not before or before[0][0] <= windows[-1][-1][1] + 1 or len(before) < MARGIN):
-            windows[-1] += [*(w for w in before if w[0] > windows[-1][-1][0]), word.span()]
+            windows[-1] += [*(w for w in before if w[0] > windows[-1][-1][0]), word.span(), *more]
         else:
-            windows.append([*before, word.span()])
-        end = word.end()
+            windows.append([*before, word.span(), *more])
+        end = windows[-1][-1][1]
     out: list[Span] = []
     for words in windows:
         if m := WORD.search(text, words[-1][1]):
