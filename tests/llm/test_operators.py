@@ -274,7 +274,7 @@ def test_licenses():
     assert [n for n, _, _ in found("Licensed under the Apache License, Version 2.0. Released under the MIT License.")] == ["Apache-2.0", "MIT"]
     assert found("This work is licensed under the GNU General Public License, version 2.")[0][0] == "GPL-2.0"
     assert found("This work is licensed under the GNU General Public License, version 9.") == []
-    notice = licenses.NOTICES["MIT"].replace("any person", "every person")
+    notice = licenses.MIT_START.replace("any person", "every person")
     assert found(f"Copyright\n{notice}\nmore")[0][0] == "MIT" and found(f"Copyright\n{notice}\nmore")[0][2] == "any/every"
     assert found("A driving licence is not a licensed permission.") == [] and found(None) == [] and found("") == []
     long = "filler words here " * 3000 + "licensed. " + "more words " * 300 + "Released under the MIT License."
@@ -288,6 +288,18 @@ def test_an_unlisted_relative_hides_no_license(other):
     assert [x[0] for x in licenses.scan_text(f"Released under the MIT License. {'Some more words. ' * 12}{mention}")] == ["MIT"]
 
 
+def test_whole_texts_and_forms():
+    for name, text in licenses.NOTICES:
+        assert [x[0] for x in licenses.scan_text(f"x y\n{text}\nand more")] == [name]
+    mit = licenses.NOTICES[1][1]
+    words = mit.split()
+    words[20], words[60:62] = "changed", []
+    ((name, _, _, diffs),) = licenses.scan_text(" ".join(words))
+    assert name == "MIT" and len(diffs.split("; ")) == 3
+    for text, want in {"Distributed under the MIT license.": ["MIT"], "Available under the terms of the Apache License, Version 2.0": ["Apache-2.0"], "dual licensed under MIT or GPLv3": ["MIT", "GPL-3.0"], "This project uses the MIT License": ["MIT"]}.items():
+        assert [x[0] for x in licenses.scan_text(text)] == want
+
+
 def test_an_altered_name_hides_no_equal_alignment():
     text = "This work is licensed under the GNU General Public License, version 1. This work was licensed under the GNU General Public License, version 2."
     assert [(n, d) for n, _, _, d in licenses.scan_text(text)] == [("GPL-2.0", "is/was")]
@@ -298,7 +310,7 @@ def test_every_template_alone_is_found():
         for text in [f.format(n) for n in names for f in licenses.FORMS] + [f"SPDX-License-Identifier: {license_id}"]:
             assert [n for n, _, _, _ in licenses.scan_text(text)] == [license_id], text
             assert [n for n, _, _, _ in licenses.scan_text(f"First words.\n\n{text}\n\nMore.")] == [license_id], text
-    for license_id, text in licenses.NOTICES.items():
+    for license_id, text in licenses.NOTICES:
         assert [n for n, _, _, _ in licenses.scan_text(text)] == [license_id]
 
 
@@ -448,6 +460,46 @@ def test_field_parts_neighbours():
     assert [(k, text[a:b]) for k, a, b in pii.all_spans(text, pii.trained())[1]] == [("card", "4524132264652876"), ("phone", "+1 (269) 555-3296")]
 
 
+def test_spelled_addresses_and_short_passwords():
+    field = pii.trained()
+    for text, want in {
+        "mail me at john dot doe at example dot com today": ["john dot doe at example dot com"],
+        "reach jane_roe [at] mail [dot] org. Or not": ["jane_roe [at] mail [dot] org"],
+        "we met at noon and the dot stayed": [],
+        "password: hunter2": ["password: hunter2"],
+        "the room: a12 is free": [],
+    }.items():
+        assert [text[a:b] for _, a, b in pii.all_spans(text, field)[1]] == want, text
+
+
+def test_best_equals_every_segmentation():
+    """Viterbi against all ways to cut a short text, and the partition sum against their total."""
+    field = pii.trained()
+
+    def walk(rows, at, n):
+        if at == n:
+            yield []
+            return
+        for j in range(at, n):
+            for i, a, b, _, score in rows[j]:
+                if i == at:
+                    for y in np.flatnonzero(np.isfinite(score)):
+                        for rest in walk(rows, j + 1, n):
+                            yield [(int(y), a, b, float(score[y])), *rest]
+
+    for text in ("call +1 (555) 123-4567 now", "a 123-45-6789 b@c.org 7", "x 4111 1111 1111 1111", "at a dot b"):
+        words = [m.span() for m in pii.WORD.finditer(text)]
+        best = None
+        for path in walk(field.segments(text, words), 0, len(words)):
+            total, last = 0.0, 0
+            for y, _, _, score in path:
+                total += score + field.moves[last, y]
+                last = y
+            if best is None or total > best[0]:
+                best = total, [(pii.KINDS[y - 1], a, b) for y, a, b, _ in path if y]
+        assert field.best(text, words) == best[1]
+
+
 def test_field_on_long_stretches():
     unit = "+1 (269) 555-3296 4524132264652876 "
     text = unit * 300
