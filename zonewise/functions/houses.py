@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .text import Name, _c, blank, empty, given, strip
+from .text import Name, _c, blank, empty, given, let, strip
 
 LIMIT = 300  # houses that "all houses" stands for when rules are compared
 
@@ -67,13 +67,44 @@ def prepared_covers(n: Column, target: Column, rule: Column) -> Column:
     return ~F.array_contains(rule["except"], target) & (rule["all"] | inside | F.array_contains(rule["listed"], target))
 
 
+def rule_set(raw: Name, number: Name, house_from: Name, house_to: Name, parity: Name, limit: int = LIMIT) -> Column:
+    """What a rule lists or spans, for comparison with other rules: listed numbers, bounds (null without a span), and the rest modulo two (null for both)."""
+    low, high, every = _c(house_from).cast("long"), _c(house_to).cast("long"), F.coalesce(F.lower(blank(raw)).isin(*P.ALL_HOUSES), F.lit(False))
+    listed = F.transform(F.filter(F.transform(F.split(blank(number), ","), strip), lambda i: i.rlike(r"(?U)^\d+$")), lambda i: i.try_cast("int").cast("long"))
+    spans = F.coalesce(low <= high, F.lit(False))
+    rest = F.when(_c(parity) == "even", 0).when(_c(parity) == "odd", 1)
+    return F.struct(
+        F.when(every, empty("bigint")).otherwise(F.array_distinct(listed)).alias("listed"),
+        F.when(every, F.lit(1).cast("long")).when(spans, low).alias("low"), F.when(every, F.lit(limit).cast("long")).when(spans, high).alias("high"), F.when(~every, rest).alias("rest"),
+    )
+
+
+def spans(rule: Column, n: Column) -> Column:
+    return F.coalesce(n.between(rule["low"], rule["high"]) & (rule["rest"].isNull() | (F.abs(n % 2) == rule["rest"])), F.lit(False))
+
+
+def _first(low: Column, high: Column, rest: Column, count: int) -> Column:
+    """The first so many numbers from low to high with this rest modulo two; no array is longer, however wide the bounds."""
+    step = F.when(rest.isNull(), 1).otherwise(2).cast("long")
+    start = F.when(rest.isNull() | (F.abs(low % 2) == rest), low).otherwise(low + 1)
+    return F.when(F.coalesce(start <= high, F.lit(False)), F.sequence(start, F.least(high, start + step * (count - 1)), step)).otherwise(empty("bigint"))
+
+
+def shared_numbers(a: Column, b: Column, count: int) -> Column:
+    """The least numbers that two rule sets have in common, by their bounds; the sets are not written out."""
+    both = F.array_union(F.filter(a["listed"], lambda n: F.array_contains(b["listed"], n) | spans(b, n)), F.filter(b["listed"], lambda n: spans(a, n)))
+    apart = F.coalesce(a["rest"] != b["rest"], F.lit(False))
+    low = F.when(a["low"].isNotNull() & b["low"].isNotNull() & ~apart, F.greatest(a["low"], b["low"]))
+    return F.slice(F.array_sort(F.array_union(both, _first(low, F.least(a["high"], b["high"]), F.coalesce(a["rest"], b["rest"]), count))), 1, count)
+
+
+#: House numbers that ``rule_numbers`` writes out for one span.
+WIDEST = 1_000_000
+
+
 def rule_numbers(raw: Name, number: Name, house_from: Name, house_to: Name, parity: Name, limit: int = LIMIT) -> Column:
-    """House numbers that a rule lists or spans, for comparison with other rules."""
-    low, high = _c(house_from), _c(house_to)
-    listed = F.transform(F.filter(F.transform(F.split(blank(number), ","), strip), lambda i: i.rlike(r"(?U)^\d+$")), lambda i: i.try_cast("int"))
-    span = F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(empty("int"))
-    span = F.filter(span, lambda n: ~(((_c(parity) == "even") & (n % 2 != 0)) | ((_c(parity) == "odd") & (n % 2 == 0))) | _c(parity).isNull())
-    return F.when(F.lower(blank(raw)).isin(*P.ALL_HOUSES), F.sequence(F.lit(1), F.lit(limit))).otherwise(F.array_union(listed, F.coalesce(span, empty("int"))))
+    """House numbers that a rule lists or spans, written out; null if it spans more than WIDEST (``shared_numbers`` compares any)."""
+    return let(rule_set(raw, number, house_from, house_to, parity, limit), lambda x: F.when(F.coalesce(x["high"] - x["low"], F.lit(0)) < WIDEST, F.array_union(x["listed"], _first(x["low"], x["high"], x["rest"], WIDEST)).cast("array<int>")))
 
 
 def house_tokens(raw: Name) -> Column:

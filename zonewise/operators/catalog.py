@@ -45,7 +45,8 @@ def rule_by_id(rules: DataFrame, rule_id: int) -> DataFrame:
 
 def update_rules(rules: DataFrame, changes: DataFrame) -> DataFrame:
     """rules with the rows of changes (id and form fields as strings) in place: texts stripped, blank lists null,
-    bounds null unless they are digits. Unknown ids change nothing; normalized_street stays as it was."""
+    bounds null unless they are digits. Unknown ids change nothing; equal changes of one id count
+    once, different ones are an error; normalized_street stays as it was."""
     null_if_blank = lambda c: F.nullif(strip(c), F.lit(""))
     fields = {
         "street": strip("street"), "house_rule_raw": strip("house_rule_raw"), "parity": strip("parity"), "rule_type": strip("rule_type"),
@@ -53,6 +54,8 @@ def update_rules(rules: DataFrame, changes: DataFrame) -> DataFrame:
         "house_number": null_if_blank("house_number"), "house_numbers": null_if_blank("house_numbers"), "exceptions": null_if_blank("exceptions"),
     }
     new = changes.select(F.col("id").alias("_id"), F.struct(*[e.alias(k) for k, e in fields.items()]).alias("_new"))
+    first, last = F.min("_new"), F.max("_new")
+    new = new.groupBy("_id").agg(F.when(first.eqNullSafe(last), first).otherwise(F.raise_error(F.concat(F.lit("several changes of rule "), F.col("_id").cast("string")))).alias("_new"))
     out = rules.join(new, F.col("id") == F.col("_id"), "left")
     return out.select(*[F.when(F.col("_id").isNotNull(), F.col(f"_new.{c}")).otherwise(rules[c]).alias(c) if c in fields else rules[c] for c in rules.columns])
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import houses as H
 from ..functions import patterns as P
 from ..functions import text as T
-from ..functions.replies import parse_decree
-from ..runtime import cut_lineage
+from ..functions.replies import error_of, json_repair, parse_decree
+from ..runtime import cut_lineage, ship
 from .rows import exploded
 
 
@@ -46,6 +50,33 @@ def flatten_decree(replies: DataFrame) -> DataFrame:
     return rules.select("doc_id", "chunk", "school_ix", "school_name", "school_address", "rule_ix", "r.*")
 
 
+#: Characters shown on either side of the place where a reply can't be read.
+AROUND = 300
+
+
+def json_error(text: str | None) -> str:
+    """What a JSON parser says of a text, where, and what stands round it."""
+    try:
+        json.loads(text or "")
+    except json.JSONDecodeError as e:
+        return f"bad_json: {e.msg} at {e.pos}: {e.doc[max(0, e.pos - AROUND) : e.pos + AROUND]}"
+    return f"bad_json: {(text or '')[: 2 * AROUND]}"  # the JVM's parser is the stricter one, on equal keys
+
+
+def bad_replies(replies: DataFrame) -> DataFrame:
+    """doc_id, chunk, error and preview of the replies (doc_id, chunk, content) that can't be used; only these reach Python."""
+    ship(replies.sparkSession)
+    bad = replies.select("doc_id", "chunk", error_of("content").alias("error"), json_repair("content").alias("json"), F.substring("content", 1, 500).alias("preview")).where("error IS NOT NULL")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame["error"] = [e if e == "no_json" else json_error(j) for e, j in zip(frame["error"], frame["json"], strict=True)]
+            yield frame.drop(columns="json")
+
+    kinds = dict(replies.dtypes)
+    return bad.mapInPandas(run, f"doc_id {kinds['doc_id']}, chunk {kinds['chunk']}, error string, preview string")
+
+
 def rule_fields() -> Column:
     return H.normalize_rule("house_rule_raw", "parity", "rule_type", "house_from", "house_to", "house_numbers", "exceptions")
 

@@ -9,6 +9,7 @@ from ..functions import patterns as P
 from ..functions.address import parse_address
 from ..functions.houses import house_number, normalize_house, prepared_covers, prepared_rule
 from ..functions.text import given, keys_match, locality_key, normalize_street, strip
+from ..runtime import cut_lineage
 
 RULE_COLUMNS = ("house_rule_raw", "rule_type", "parity", "house_from", "house_to", "house_number", "house_numbers", "exceptions")
 
@@ -75,7 +76,8 @@ def search_text(texts: DataFrame, rules: DataFrame, schools: DataFrame, municipa
     if cleaned is not None:
         given_parts = cleaned.select(F.col("address").alias("_address"), F.struct("city", "street", "house").alias("_given"))
         out = out.join(given_parts, F.col("address") == F.col("_address"), "left").withColumn("_own", F.coalesce("_given", "_own"))
-    parts = out.select("address_id", "_own.*")
+    # written once: both sides of the join below need the parts, and reading an address is costly
+    parts = cut_lineage(out.select("address_id", "_own.*"))
     whole = parts.where(given("street") & given("house")).select("address_id", F.col("city").alias("locality"), "street", "house")
     return parts.join(find_school(whole, rules, schools, municipalities), "address_id", "left")
 
@@ -88,6 +90,20 @@ def check_address(lines: DataFrame, rules: DataFrame, schools: DataFrame, munici
 
 
 def locality_join(left: DataFrame, right: DataFrame, name: str = "name") -> DataFrame:
-    """Pairs (left_id, right_id) of localities that match. Their first four letters agree, which makes an equi-join."""
-    side = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), locality_key(name).alias(f"_{p}")).withColumn(f"_{p}4", F.substring(f"_{p}", 1, 4))
-    return side(left, "left").join(side(right, "right"), (F.col("_left4") == F.col("_right4")) & keys_match("_left", "_right")).select("left_id", "right_id")
+    """Pairs (left_id, right_id) of localities that match.
+
+    Keys match if they share a prefix as long as the longer one less two letters, and four at least. So
+    each key stands under its three longest prefixes, and a pair meets under the one of just that length,
+    once; keys below four letters match themselves only.
+    """
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        key = df.select(F.col("id").alias(f"{p}_id"), locality_key(name).alias(f"_{p}"))
+        size = F.length(f"_{p}")
+        starts = F.transform(F.array(size - 2, size - 1, size), lambda n: F.substring(F.col(f"_{p}"), F.lit(1), F.greatest(n, F.lit(4))))
+        return key.where(size > 0).select("*", F.explode(F.array_distinct(starts)).alias(f"_{p}_start"))
+
+    least = F.greatest(F.lit(4), F.length("_left") - 2, F.length("_right") - 2)
+    short = F.least(F.length("_left"), F.length("_right")) < 4
+    once = short | (F.length("_left_start") == least)
+    return side(left, "left").join(side(right, "right"), (F.col("_left_start") == F.col("_right_start")) & once & keys_match("_left", "_right")).select("left_id", "right_id")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
 from ..functions.houses import houses_to_rules
-from ..runtime import ship
 from .rows import exploded
 
 ORDER = ("page", "table_ix", "row_ix")
@@ -63,46 +61,45 @@ def detect_two_column(raw: DataFrame, pages: int = 10) -> DataFrame:
     return raw.select("doc_id").distinct().join(seen, "doc_id", "left").select("doc_id", F.coalesce("two_column", F.lit(False)).alias("two_column"))
 
 
-def choose_strategy(flags: DataFrame) -> DataFrame:
-    """doc_id and its parser: table shape first, else the classifier's word, else multi-column."""
-    two, multi = "two_column_school_territories", "multi_column_street_house"
-    pick = F.when(F.col("multi_column"), multi).when(F.col("two_column"), two).when(F.col("document_type") == two, two).otherwise(multi)
+MULTI, TWO = "multi_column_street_house", "two_column_school_territories"
+#: Flag columns that tell a document's parser, in the order in which they count.
+BY_TABLES = {"multi_column": MULTI, "two_column": TWO}
+
+
+def choose_strategy(flags: DataFrame, by_tables: dict[str, str] | None = None, default: str = MULTI) -> DataFrame:
+    """doc_id and its parser: table shape first, else the classifier's word if it names one, else the default."""
+    by_tables, pick = by_tables or BY_TABLES, F
+    for flag, name in by_tables.items():
+        pick = pick.when(F.col(flag), name)
+    pick = pick.when(F.col("document_type").isin(*by_tables.values()), F.col("document_type")).otherwise(default)
     return flags.select("doc_id", pick.alias("strategy"))
 
 
 def process_tables(raw: DataFrame) -> DataFrame:
     """School and territory records of two-column tables; rows without a school go on with the record before.
 
-    Cells are judged in the JVM; only the fold, where each row depends on the
-    record so far, runs in Python, one table at a time.
+    Each row depends on the record so far, so a table's rows are folded in order, as one array, in the JVM.
     """
-    ship(raw.sparkSession)
     keys = ["doc_id", "engine", "setting", "page", "table_ix"]
     school_at = F.array_position(F.transform("cells", T.is_school_cell), F.lit(True)).cast("int") - 1
     others = F.filter("cells", lambda c, i: (i != F.col("_at")) & T.is_territory(c))
     rows = raw.withColumn("_at", school_at).select(*keys, "row_ix", F.when(F.col("_at") >= 0, T.clean(F.get("cells", F.col("_at")))).alias("school"), T.merge_cells(others).alias("addition"))
-    rows = rows.where("addition <> ''")
-    quoted = F.lower(F.regexp_extract(F.coalesce("school", F.lit("")), P.SCHOOL_NAME, 0))
-    rows = rows.withColumn("quoted", quoted)
-
-    def fold(table: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        now = None
-        for row in table.sort_values("row_ix").itertuples():
-            if row.school is not None and not (now and _same(now, row)):
-                now = {"school_name": row.school, "quoted": row.quoted, "territory_text": row.addition, "record_ix": len(out)}
-                out.append(now)
-            elif now and row.addition not in now["territory_text"]:
-                now["territory_text"] = f"{now['territory_text']} {row.addition}".strip()
-        head = {k: table[k].iloc[0] for k in keys}
-        return pd.DataFrame([{**head, "record_ix": r["record_ix"], "school_name": r["school_name"], "territory_text": r["territory_text"]} for r in out], columns=[*keys, "record_ix", "school_name", "territory_text"])
+    rows = rows.where("addition <> ''").withColumn("quoted", F.lower(F.regexp_extract(F.coalesce("school", F.lit("")), P.SCHOOL_NAME, 0)))
+    made = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("row_ix", "school", "quoted", "addition"))).alias("rows"))
+    null = F.lit(None).cast("string")
+    start = F.struct(F.array().cast("array<struct<school_name:string,territory_text:string>>").alias("done"), null.alias("name"), null.alias("quoted"), null.alias("text"))
 
-    return rows.groupBy(*keys).applyInPandas(fold, "doc_id string, engine string, setting int, page int, table_ix int, record_ix int, school_name string, territory_text string")
+    def closed(acc: F.Column) -> F.Column:
+        return F.when(acc["name"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["name"].alias("school_name"), acc["text"].alias("territory_text")))))
 
+    def step(acc: F.Column, x: F.Column) -> F.Column:
+        same = F.contains(acc["name"], x["school"]) | F.contains(x["school"], acc["name"]) | ((acc["quoted"] != "") & (acc["quoted"] == x["quoted"]))
+        opens = x["school"].isNotNull() & ~F.coalesce(same, F.lit(False))
+        adds = F.when(F.contains(acc["text"], x["addition"]), acc["text"]).otherwise(T.strip(F.concat(acc["text"], F.lit(" "), x["addition"])))
+        pick = lambda new, old, name: F.when(opens, new).otherwise(old).alias(name)
+        return F.struct(pick(closed(acc), acc["done"], "done"), pick(x["school"], acc["name"], "name"), pick(x["quoted"], acc["quoted"], "quoted"), pick(x["addition"], adds, "text"))
 
-def _same(now: dict, row) -> bool:
-    a, b = now["school_name"], row.school
-    return a in b or b in a or bool(now["quoted"] and now["quoted"] == row.quoted)
+    return exploded(made, F.aggregate("rows", start, step, closed), "record_ix", "r", *keys).select(*keys, "record_ix", "r.*")
 
 
 def extraction_score(records: DataFrame) -> DataFrame:
@@ -118,19 +115,21 @@ def best_per_page(records: DataFrame) -> DataFrame:
 
 
 def stitch_names(records: DataFrame) -> DataFrame:
-    """Records whose name goes on from an unclosed one before are joined to it, in chains. One document is one array."""
-    item = F.struct("page", "table_ix", "record_ix", "school_name", "territory_text")
-    docs = records.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("rows"))
-    kind = "array<struct<page:int,table_ix:int,record_ix:int,school_name:string,territory_text:string>>"
-
-    def step(acc, x):
-        joins = (F.size(acc) > 0) & ~F.contains(F.try_element_at(acc, F.lit(-1))["school_name"], F.lit("»")) & x["school_name"].rlike(P.NAME_CONTINUATION)
-        last = F.try_element_at(acc, F.lit(-1))
-        text = F.when(x["territory_text"] == "", last["territory_text"]).when(last["territory_text"] == "", x["territory_text"]).otherwise(T.clean(F.concat_ws(" ", last["territory_text"], x["territory_text"])))
-        both = F.struct(last["page"].alias("page"), last["table_ix"].alias("table_ix"), last["record_ix"].alias("record_ix"), T.clean(F.concat_ws(" ", last["school_name"], x["school_name"])).alias("school_name"), text.alias("territory_text"))
-        return F.when(F.coalesce(joins, F.lit(False)), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(acc, F.array(x)))
-
-    return docs.select("doc_id", F.inline(F.aggregate("rows", F.array().cast(kind), step)))
+    """Records whose name goes on from an unclosed one before are joined to it, in chains.
+
+    A chain ends with the first closed name, so whether a record joins is told by its own name and the one just before.
+    """
+    order = Window.partitionBy("doc_id").orderBy("page", "table_ix", "record_ix", "school_name", "territory_text")
+    goes_on = F.col("school_name").rlike(P.NAME_CONTINUATION) & ~F.contains(F.lag("school_name").over(order), F.lit("»"))
+    rows = records.withColumns({"_starts": F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1), "_at": F.row_number().over(order)})
+    rows = rows.withColumn("_chain", F.sum("_starts").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    chains = rows.groupBy("doc_id", "_chain").agg(F.sort_array(F.collect_list(F.struct("_at", "page", "table_ix", "record_ix", "school_name", "territory_text"))).alias("r"))
+    first = F.col("r")[0]
+    texts = F.filter(F.transform("r", lambda x: x["territory_text"]), lambda t: t != "")
+    joined = lambda c: T.clean(F.array_join(c, " "))
+    name = F.when(F.size("r") == 1, first["school_name"]).otherwise(joined(F.transform("r", lambda x: x["school_name"])))
+    text = F.when(F.size("r") == 1, first["territory_text"]).when(F.size(texts) > 1, joined(texts)).otherwise(F.coalesce(F.get(texts, F.lit(0)), F.lit("")))
+    return chains.select("doc_id", first["page"].alias("page"), first["table_ix"].alias("table_ix"), first["record_ix"].alias("record_ix"), name.alias("school_name"), text.alias("territory_text"))
 
 
 def dedupe_schools(records: DataFrame) -> DataFrame:

@@ -6,30 +6,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.houses import rule_numbers
+from ..functions.houses import rule_set, shared_numbers
 from ..functions.text import blank, normalize_street, strip
 
-PREVIEW = 10
+#: Numbers shown of an overlap, and houses of a span from which a rule isn't cut in blocks.
+PREVIEW, WIDE = 10, 4096
 
 
 def intersections(rules: DataFrame, schools: DataFrame) -> DataFrame:
     """Pairs of rules of different schools on one street that share house numbers, the ten least of them.
 
-    House sets are expanded once per rule. The self-join is on (locality, street,
-    block of 16 houses), so a popular street is spread over its houses' blocks and
-    only rules that come near each other meet; a pair is reported from the first block that both have.
+    Rules are compared by their lists and bounds, which is all that is shipped; no
+    span is written out. The self-join is on (locality, street, block of 16 houses), so a popular street is
+    spread over its houses' blocks and only rules that come near each other meet; a pair is reported from the block of
+    its least common number. Rules that span more than ``WIDE`` houses (typing slips, mostly) would
+    stand in too many blocks: they meet the rules of their street by the street alone.
     """
     key = F.concat_ws(":", strip(F.lower(blank("locality"))), normalize_street("street"))
-    nums = F.array_sort(F.array_distinct(rule_numbers("house_rule_raw", "house_number", "house_from", "house_to", "parity")))
-    sets = rules.select("id", "school_id", "street", key.alias("k"), nums.alias("nums")).where(F.size("nums") > 0)
-    blocks = F.array_distinct(F.transform("nums", lambda n: F.shiftright(n, 4)))
-    spread = sets.select("id", "school_id", "street", "k", "nums", blocks.alias("blocks"), F.explode(blocks).alias("block"))
-    a, b = spread.alias("a"), spread.alias("b")
+    sets = rules.select("id", "school_id", "street", key.alias("k"), rule_set("house_rule_raw", "house_number", "house_from", "house_to", "parity").alias("s"))
+    sets = sets.where((F.size("s.listed") > 0) | F.col("s.low").isNotNull()).withColumn("wide", F.coalesce(F.col("s.high") - F.col("s.low") > WIDE, F.lit(False)))
+    no_blocks = F.array().cast("array<bigint>")
+    blocks = F.array_union(F.transform("s.listed", lambda n: F.shiftright(n, 4)), F.when(F.col("s.low").isNotNull(), F.sequence(F.shiftright("s.low", 4), F.shiftright("s.high", 4))).otherwise(no_blocks))
+    spread = sets.where("NOT wide").withColumn("block", F.explode(blocks))
+    a, b = F.col("a.s"), F.col("b.s")
     apart = ~F.col("a.school_id").eqNullSafe(F.col("b.school_id"))
-    first = F.array_min(F.array_intersect("a.blocks", "b.blocks")) == F.col("a.block")
-    pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id")) & apart & first & F.arrays_overlap("a.nums", "b.nums"))
-    shared = F.slice(F.array_sort(F.array_intersect("a.nums", "b.nums")), 1, PREVIEW)
-    pairs = pairs.select(F.col("a.id").alias("rule_id"), F.col("b.id").alias("second_rule_id"), F.col("a.school_id").alias("_a"), F.col("b.school_id").alias("_b"), F.concat(F.lit(P.OVERLAP), "a.street", F.lit(": дома ["), F.array_join(shared.cast("array<string>"), ", "), F.lit("]")).alias("message"))
+    shared = shared_numbers(a, b, PREVIEW)
+    near = spread.alias("a").join(spread.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id")) & apart)
+    near = near.select("a.*", F.struct("b.id", "b.school_id").alias("other"), shared.alias("shared")).where(F.shiftright(F.get("shared", F.lit(0)), 4) == F.col("block"))
+    far = sets.where("wide").alias("a").join(sets.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.id") != F.col("b.id")) & (~F.col("b.wide") | (F.col("a.id") < F.col("b.id"))) & apart)
+    swapped = F.col("b.id") < F.col("a.id")
+    side = lambda c: F.when(swapped, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c)
+    other = lambda c: F.when(swapped, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c)
+    far = far.select(*[side(c) for c in ("id", "school_id", "street")], F.struct(other("id"), other("school_id")).alias("other"), shared.alias("shared")).where(F.size("shared") > 0)
+    pairs = near.select(*far.columns).unionByName(far)
+    pairs = pairs.select(F.col("id").alias("rule_id"), F.col("other.id").alias("second_rule_id"), F.col("school_id").alias("_a"), F.col("other.school_id").alias("_b"), F.concat(F.lit(P.OVERLAP), "street", F.lit(": дома ["), F.array_join(F.col("shared").cast("array<string>"), ", "), F.lit("]")).alias("message"))
     names = schools.select(F.col("id").alias("_id"), "name")
     pairs = pairs.join(names.select(F.col("_id").alias("_ia"), F.col("name").alias("_na")), F.col("_a") == F.col("_ia"), "left").join(names.select(F.col("_id").alias("_ib"), F.col("name").alias("_nb")), F.col("_b") == F.col("_ib"), "left")
     return pairs.select(F.lit("error").alias("level"), F.lit("intersection").alias("type"), "message", "rule_id", "second_rule_id", F.coalesce("_na", F.lit("—")).alias("school"), F.coalesce("_nb", F.lit("—")).alias("second_school"))

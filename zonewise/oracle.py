@@ -177,6 +177,8 @@ oracle("street_keys", "SELECT p_partkey, CASE p_partkey % 2 WHEN 0 THEN 'бер
 oracle("clean_street", f"{BASE} SELECT id, trim(replace(replace(street, 'ул. ', ''), 'пр-кт ', '')) AS street FROM rules")
 oracle("decree_metadata", """SELECT o_orderkey::VARCHAR AS doc_id, CASE WHEN o_orderkey % 3 < 2 THEN o_custkey || '-п' ELSE '' END AS number, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%d.%m.%Y') WHEN 1 THEN strftime(o_orderdate, '%d') || '.04.' || strftime(o_orderdate, '%Y') ELSE '' END AS date,
 CASE o_orderkey % 3 WHEN 0 THEN 'Перми' WHEN 1 THEN 'Балашиха' ELSE 'Пушкинский' END AS municipality FROM orders""")
+for name in ("number", "date", "municipality"):
+    oracle(name if name == "municipality" else f"decree_{name}", f"SELECT doc_id, {name} FROM ({ORACLES['decree_metadata']})")
 REPLIES = """WITH b AS (SELECT o_custkey::VARCHAR AS doc_id, o_orderkey::INT AS chunk, o_orderkey, o_custkey, '{"decree": {"number": "' || o_custkey || '", "date": null, "extra": 1}, "schools": [{"name": " СОШ № ' || o_custkey || ' ", "address": null, "rules": [{"street": "Мира", "house_rule_raw": null, "parity": "' || CASE o_orderkey % 3 WHEN 0 THEN 'even' WHEN 1 THEN 'weird' ELSE 'all' END
 || '", "house_from": "' || o_custkey || '", "house_to": ' || CASE o_orderkey % 3 WHEN 0 THEN '"abc"' WHEN 1 THEN '17' ELSE 'null' END || ', "house_number": ' || CASE o_orderkey % 3 WHEN 0 THEN '["1", "2а", ""]' WHEN 1 THEN '"5"' ELSE 'null' END || ', },]}, ]}' AS body FROM orders),
 c AS (SELECT *, CASE o_orderkey % 5 WHEN 0 THEN '```json' || chr(10) || body || chr(10) || '```' WHEN 1 THEN 'Вот ответ: ' || body || ' Готово.' WHEN 4 THEN 'ответа нет' ELSE body END AS content FROM b),
@@ -186,6 +188,9 @@ oracle("json_repair", f"{REPLIES} SELECT doc_id, chunk, json, json IS NULL OR NO
 oracle("coerce_rules", f"""{REPLIES} SELECT doc_id, chunk, 0 AS school_ix, trim(json->>'$.schools[0].name') AS school_name, coalesce(json->>'$.schools[0].address', '') AS school_address, 0 AS rule_ix, '' AS locality, json->>'$.schools[0].rules[0].street' AS street, '' AS house_rule_raw,
 CASE WHEN json->>'$.schools[0].rules[0].parity' IN ('all', 'even', 'odd', 'mixed', 'unknown') THEN json->>'$.schools[0].rules[0].parity' ELSE 'unknown' END AS parity, TRY_CAST(json->>'$.schools[0].rules[0].house_from' AS INT) AS house_from, TRY_CAST(json->>'$.schools[0].rules[0].house_to' AS INT) AS house_to,
 CASE o_orderkey % 3 WHEN 0 THEN array_to_string(list_filter(json->>'$.schools[0].rules[0].house_number[*]', lambda x: x <> ''), ',') ELSE json->>'$.schools[0].rules[0].house_number' END AS house_number, '' AS comment FROM r WHERE json IS NOT NULL""")
+oracle("flatten_decree", f"SELECT doc_id, chunk, school_ix, school_name, rule_ix, street FROM ({ORACLES['coerce_rules']})")
+oracle("json_parse", f"""{REPLIES} SELECT doc_id, chunk, json IS NOT NULL AND json_valid(json) AS ok, CASE WHEN json_valid(json) THEN json->>'$.decree.number' END AS number, CASE WHEN json_valid(json) THEN json_array_length(json, '$.schools')::INT END AS n_schools FROM r""")
+oracle("bad_replies", f"{REPLIES} SELECT doc_id, chunk, 'no_json' AS error, left(content, 500) AS preview FROM r WHERE json IS NULL")
 oracle("classify_reply", "SELECT o_orderkey, CASE o_orderkey % 2 WHEN 0 THEN 'plain_text_list' ELSE 'unknown' END AS document_type, 0.5::DOUBLE AS confidence, o_orderstatus AS reason FROM orders")
 oracle("prompts", "SELECT doc_id, 'Разбери текст:' || chr(10) || left(text, 4000) || chr(10) || 'Верни JSON.' AS prompt FROM documents")
 oracle("find_school", f"{FIND} SELECT * FROM found")
@@ -261,3 +266,19 @@ FROM part LEFT JOIN g ON q = p_name""")
 oracle("update_rule", f"""{BASE} SELECT id, school_id, decree_id, locality, trim(street) AS street, CASE WHEN id % 10 = 3 THEN '1-9' ELSE house_rule_raw END AS house_rule_raw, CASE WHEN id % 10 = 3 THEN 'range' ELSE rule_type END AS rule_type, CASE WHEN id % 10 = 3 THEN 'odd' ELSE parity END AS parity,
 CASE WHEN id % 10 <> 3 THEN house_from WHEN id % 2 = 0 THEN 7 END AS house_from, CASE WHEN id % 10 = 3 THEN 9 ELSE house_to END AS house_to, CASE WHEN id % 10 <> 3 THEN house_number END AS house_number, house_numbers, CASE WHEN id % 10 = 3 THEN '3' ELSE exceptions END AS exceptions FROM rules""")
 oracle("delete_rule", f"{BASE} SELECT * FROM rules WHERE id % 10 <> 3")
+
+#: Folds as recursion over a table's rows, one row a step.
+oracle("process_table", """WITH RECURSIVE p AS (SELECT (p_partkey % 50)::VARCHAR AS doc_id, (p_partkey % 3)::INT AS table_ix, p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'МАОУ «Школа № ' || p_size || '»' WHEN 2 THEN '«Школа № ' || p_size || '»' END AS school, 'ул. ' || trim(p_name) || ', ' || p_size AS addition FROM part),
+r AS (SELECT *, regexp_extract(lower(school), '«[^»]*»') AS quoted, row_number() OVER (PARTITION BY doc_id, table_ix ORDER BY p_partkey) AS rn FROM p),
+f AS (SELECT doc_id, table_ix, rn, CASE WHEN school IS NULL THEN -1 ELSE 0 END AS record_ix, school AS name, quoted, CASE WHEN school IS NOT NULL THEN addition END AS text FROM r WHERE rn = 1
+  UNION ALL SELECT doc_id, table_ix, rn, record_ix + opens::INT, CASE WHEN opens THEN school ELSE name END, CASE WHEN opens THEN quoted ELSE old_quoted END, CASE WHEN opens THEN addition WHEN name IS NULL OR contains(text, addition) THEN text ELSE trim(text || ' ' || addition) END
+  FROM (SELECT r.doc_id, r.table_ix, r.rn, f.record_ix, f.name, f.text, f.quoted AS old_quoted, r.school, r.quoted, r.addition,
+      r.school IS NOT NULL AND NOT coalesce(contains(f.name, r.school) OR contains(r.school, f.name) OR (f.quoted <> '' AND f.quoted = r.quoted), false) AS opens
+    FROM f JOIN r ON f.doc_id = r.doc_id AND f.table_ix = r.table_ix AND r.rn = f.rn + 1))
+SELECT doc_id, table_ix, record_ix::INT AS record_ix, arg_max(name, rn) AS school_name, arg_max(text, rn) AS territory_text FROM f WHERE record_ix >= 0 GROUP BY doc_id, table_ix, record_ix""")
+oracle("stitch_names", """WITH RECURSIVE p AS (SELECT (p_partkey % 40)::VARCHAR AS doc_id, p_partkey::INT AS record_ix, CASE p_partkey % 3 WHEN 0 THEN 'Муниципальное учреждение' WHEN 1 THEN 'Городского округа «Школа № ' || p_size || '»' ELSE 'МАОУ «Школа № ' || p_size || '»' END AS name, CASE p_size % 2 WHEN 0 THEN '' ELSE 'ул. ' || p_name END AS text FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY record_ix) AS rn FROM p),
+f AS (SELECT doc_id, rn, record_ix, name, text FROM r WHERE rn = 1
+  UNION ALL SELECT doc_id, rn, CASE WHEN joins THEN old_ix ELSE record_ix END, CASE WHEN joins THEN old_name || ' ' || name ELSE name END, CASE WHEN NOT joins OR old_text = '' THEN text WHEN text = '' THEN old_text ELSE old_text || ' ' || text END
+  FROM (SELECT r.*, f.record_ix AS old_ix, f.name AS old_name, f.text AS old_text, NOT contains(f.name, '»') AND (starts_with(r.name, 'Городск') OR starts_with(r.name, '«')) AS joins FROM f JOIN r ON f.doc_id = r.doc_id AND r.rn = f.rn + 1))
+SELECT doc_id, 1::INT AS page, 1::INT AS table_ix, record_ix, arg_max(name, rn) AS school_name, arg_max(text, rn) AS territory_text FROM f GROUP BY doc_id, record_ix""")

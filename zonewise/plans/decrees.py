@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.metadata import decree_metadata
-from ..functions.replies import error_of, parse_decree, parse_territory
+from ..functions.replies import parse_decree, parse_territory, prompt
 from ..operators import ingest, tables
+from ..operators.ingest import bad_replies
 from ..operators.rows import exploded
+from ..runtime import cut_lineage
+from ..sources.services import ask
 
 RULE = ["locality", "street", "house_rule_raw", "parity", "rule_type", "house_from", "house_to", "house_number", "house_numbers", "exceptions", "comment"]
-MULTI, TWO = "multi_column_street_house", "two_column_school_territories"
+MULTI, TWO = tables.MULTI, tables.TWO
+#: Fixed value: the question about a chunk of text, and its longest text.
+QUESTION, LONGEST = "Разбери текст:\n{text}\nВерни JSON.", 4000
+
+
+class Strategy(NamedTuple):
+    """How a kind of document is told from its raw tables (doc_id and one flag column of the strategy's name; None: by the
+    classifier only), and how its rules are read from raw tables and territory replies."""
+
+    detect: Callable[[DataFrame], DataFrame] | None
+    rules: Callable[[DataFrame, DataFrame], DataFrame]
+
+
+#: Strategies by name; those that come first are tried first. ``register`` adds one.
+STRATEGIES: dict[str, Strategy] = {}
+
+
+def register(name: str, detect: Callable[[DataFrame], DataFrame] | None, rules: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    STRATEGIES[name] = Strategy(detect, rules)
+
 
 
 def _null(kind: str = "string") -> F.Column:
@@ -21,10 +46,16 @@ def _null(kind: str = "string") -> F.Column:
 
 def strategies(texts: DataFrame, raw: DataFrame, classes: DataFrame) -> DataFrame:
     """doc_id and strategy; classes (doc_id, document_type) is only asked where tables don't tell."""
-    flags = texts.select("doc_id").distinct()
-    for part in (tables.detect_multi_column(raw), tables.detect_two_column(raw), classes.select("doc_id", "document_type")):
-        flags = flags.join(part, "doc_id", "left")
-    return tables.choose_strategy(flags.fillna(False, ["multi_column", "two_column"]))
+    flags, by_tables = texts.select("doc_id").distinct().join(classes.select("doc_id", "document_type"), "doc_id", "left"), {}
+    for k, (name, strategy) in enumerate(STRATEGIES.items()):
+        by_tables[f"_is_{k}"] = name
+        if strategy.detect is None:
+            flags = flags.withColumn(f"_is_{k}", F.lit(False))
+        else:
+            found = strategy.detect(raw)
+            (flag,) = (c for c in found.columns if c != "doc_id")
+            flags = flags.join(found.withColumnRenamed(flag, f"_is_{k}"), "doc_id", "left")
+    return tables.choose_strategy(flags.fillna(False, list(by_tables)), by_tables)
 
 
 def multi_column(raw: DataFrame) -> DataFrame:
@@ -77,10 +108,39 @@ def parse(texts: DataFrame, raw: DataFrame, replies: DataFrame, territory_replie
     """
     way = strategies(texts, raw, classes)
     own = lambda df, kind: df.join(way.where(F.col("strategy") == kind).select("doc_id"), "doc_id", "left_semi")
-    structured = multi_column(own(raw, MULTI)).unionByName(two_column(own(raw, TWO), territory_replies))
+    structured = None
+    for name, strategy in STRATEGIES.items():
+        rules = strategy.rules(own(raw, name), territory_replies)
+        structured = rules if structured is None else structured.unionByName(rules)
     rest = plain_text(replies.join(structured.select("doc_id").distinct(), "doc_id", "left_anti"))
     meta = texts.select("doc_id", decree_metadata("text").alias("m")).select("doc_id", F.col("m.number").alias("text_number"), F.col("m.date").alias("text_date"), F.col("m.municipality").alias("text_municipality"))
     said = ingest.merge_chunks(replies.select("doc_id", "chunk", parse_decree("content")["decree"].alias("d")).select("doc_id", "chunk", "d.*"))
     decrees = ingest.metadata_fill(meta.join(said, "doc_id", "left"))
-    errors = replies.select("doc_id", "chunk", error_of("content").alias("error"), F.substring("content", 1, 500).alias("preview")).where("error is not null")
-    return {"decrees": decrees, "rules": structured.unionByName(rest), "strategies": way, "errors": errors}
+    return {"decrees": decrees, "rules": structured.unionByName(rest), "strategies": way, "errors": bad_replies(replies)}
+
+
+register(MULTI, tables.detect_multi_column, lambda raw, replies: multi_column(raw))
+register(TWO, tables.detect_two_column, two_column)
+
+
+def ask_texts(texts: DataFrame, client: Callable[[str], str | None], question: str = QUESTION, longest: int = LONGEST, **options) -> DataFrame:
+    """doc_id, chunk, content and failed: a model's replies about the sections of texts (doc_id, text). Equal sections are asked once.
+
+    The replies are written before they are returned, so that nothing is asked twice.
+    """
+    chunks = exploded(texts, T.split_sections("text"), "chunk", "section", "doc_id").select("doc_id", "chunk", prompt(question, "section", longest).alias("query"))
+    answers = cut_lineage(ask(chunks, client, **options))
+    return chunks.join(answers, "query").select("doc_id", "chunk", F.col("answer").alias("content"), "failed")
+
+
+def text_rules(texts: DataFrame, client: Callable[[str], str | None], **options) -> dict[str, DataFrame]:
+    """Texts to rules in one go: sections are asked with pauses and retries, each chunk's error is kept, and what could be read is merged.
+
+    decrees (doc_id, number, date, municipality: the reply's, else the text's), rules and errors (doc_id, chunk, error, preview).
+    """
+    replies = ask_texts(texts, client, **options)
+    read = replies.where("failed IS NULL").select("doc_id", "chunk", "content")
+    meta = texts.select("doc_id", decree_metadata("text").alias("m")).select("doc_id", F.col("m.number").alias("text_number"), F.col("m.date").alias("text_date"), F.col("m.municipality").alias("text_municipality"))
+    said = ingest.merge_chunks(read.select("doc_id", "chunk", parse_decree("content")["decree"].alias("d")).select("doc_id", "chunk", "d.*"))
+    lost = replies.where("failed IS NOT NULL").select("doc_id", "chunk", F.concat(F.lit("not_asked: "), "failed").alias("error"), F.lit("").alias("preview"))
+    return {"decrees": ingest.metadata_fill(meta.join(said, "doc_id", "left")), "rules": plain_text(read), "errors": bad_replies(read).unionByName(lost)}

@@ -308,6 +308,37 @@ def decree_metadata(v):
     return I.decree_texts(v).select("doc_id", metadata.decree_metadata("text").alias("m")).select("doc_id", "m.*")
 
 
+@query
+def decree_number(v):
+    return I.decree_texts(v).select("doc_id", metadata.decree_number("text").alias("number"))
+
+
+@query
+def decree_date(v):
+    return I.decree_texts(v).select("doc_id", metadata.decree_date("text").alias("date"))
+
+
+@query
+def municipality(v):
+    return I.decree_texts(v).select("doc_id", metadata.municipality("text").alias("municipality"))
+
+
+@query
+def json_parse(v):
+    rows = I.replies(v).select("doc_id", "chunk", R.parse_decree("content").alias("d"))
+    return rows.select("doc_id", "chunk", F.col("d").isNotNull().alias("ok"), F.col("d.decree.number").alias("number"), F.size("d.schools").alias("n_schools"))
+
+
+@query
+def bad_replies(v):
+    return ingest.bad_replies(I.replies(v))
+
+
+@query
+def flatten_decree(v):
+    return ingest.flatten_decree(I.replies(v)).select("doc_id", "chunk", "school_ix", "school_name", "rule_ix", "street")
+
+
 @query
 def json_repair(v):
     return I.replies(v).select("doc_id", "chunk", R.json_repair("content").alias("json"), R.error_of("content").isNotNull().alias("failed"))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
+_scratch: list[list[str]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -31,16 +36,43 @@ def ship(spark: SparkSession) -> None:
 
 
 def _checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set (tests, one machine)."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only on one machine (a local master) a temporary one stands in for it, and goes with the process."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="zonewise-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="zonewise-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(folder)
     return jsc.getCheckpointDir().get()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder's path that driver and executors share."""
-    return f"{_checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+    """A new folder's path that driver and executors share. Within ``scratch`` it is deleted at the end."""
+    path = f"{_checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the shared folders that are named inside; what was read from them must have been written elsewhere by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            drop_folder(spark, path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``shared_folder`` named, in whatever store it is."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import shutil
 import subprocess
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from xml.etree import ElementTree
 
@@ -58,9 +58,9 @@ def docx_parts(content: bytes) -> tuple[list[str], list[list[list[str]]]]:
     return paragraphs, tables
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
-    """path and content of the DOCX files in a folder; one row a file, so a task reads files one by one."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path).select("path", "content")
+def files(spark: SparkSession, path: str, pattern: str = "*.docx") -> DataFrame:
+    """path and content of the files in a folder whose names fit the pattern; one row a file, so a task reads files one by one."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
 def docx_texts(docx: DataFrame) -> DataFrame:
@@ -142,6 +142,27 @@ def convert_doc(doc: DataFrame, timeout: int = 180) -> DataFrame:
     return doc.mapInPandas(run, "path string, content binary")
 
 
+def _converted(doc: DataFrame) -> DataFrame:
+    made = convert_doc(doc)
+    return docx_texts(made.where("content IS NOT NULL")).withColumn("error", F.lit(None).cast("string")).unionByName(made.where("content IS NULL").select(F.col("path").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit("conversion failed").alias("error")))
+
+
+#: Readers by suffix: files (path, content) to doc_id and text, and error where one can tell. More can be added.
+READERS: dict[str, Callable[[DataFrame], DataFrame]] = {".docx": docx_texts, ".doc": _converted, ".pdf": lambda pdf: join_pages(pdf_pages(pdf))}
+
+
+def texts_of(files: DataFrame) -> DataFrame:
+    """doc_id, text and error of files (path, content), each read by its suffix's reader, whatever its case. Files of no known suffix are errors."""
+    suffix = F.lower(F.regexp_extract("path", r"(\.[^./\\]+)$", 1))
+    rows = files.withColumn("_suffix", suffix)
+    null = F.lit(None).cast("string")
+    out = rows.where(~F.col("_suffix").isin(*READERS)).select(F.col("path").alias("doc_id"), null.alias("text"), F.concat(F.lit("unsupported format: "), "_suffix").alias("error"))
+    for name, reader in READERS.items():
+        read = reader(rows.where(F.col("_suffix") == name).select("path", "content"))
+        out = out.unionByName(read.select("doc_id", "text", F.col("error") if "error" in read.columns else null.alias("error")))
+    return out
+
+
 def route_text(texts: DataFrame, enough: int = 500) -> DataFrame:
     """native text where it is long enough, else the OCR text (doc_id, native, ocr)."""
     return texts.select("doc_id", F.when(F.length(F.trim("native")) >= enough, F.col("native")).otherwise(F.col("ocr")).alias("text"))
