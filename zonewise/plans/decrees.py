@@ -46,16 +46,16 @@ def _null(kind: str = "string") -> F.Column:
 
 def strategies(texts: DataFrame, raw: DataFrame, classes: DataFrame) -> DataFrame:
     """doc_id and strategy; classes (doc_id, document_type) is only asked where tables don't tell."""
-    flags, by_tables = texts.select("doc_id").distinct().join(classes.select("doc_id", "document_type"), "doc_id", "left"), {}
+    flags, names = texts.select("doc_id").distinct().join(classes.select("doc_id", "document_type"), "doc_id", "left"), {}
     for k, (name, strategy) in enumerate(STRATEGIES.items()):
-        by_tables[f"_is_{k}"] = name
+        names[f"_is_{k}"] = name
         if strategy.detect is None:
             flags = flags.withColumn(f"_is_{k}", F.lit(False))
         else:
-            found = strategy.detect(raw)
+            found = strategy.detect(by_tables(raw))
             (flag,) = (c for c in found.columns if c != "doc_id")
             flags = flags.join(found.withColumnRenamed(flag, f"_is_{k}"), "doc_id", "left")
-    return tables.choose_strategy(flags.fillna(False, list(by_tables)), by_tables)
+    return tables.choose_strategy(flags.fillna(False, list(names)), names)
 
 
 def multi_column(raw: DataFrame) -> DataFrame:
@@ -67,21 +67,32 @@ def multi_column(raw: DataFrame) -> DataFrame:
     )
 
 
+def by_tables(raw: DataFrame) -> DataFrame:
+    """The rows by which a document's shape is told: of the first engine's own setting."""
+    return raw.where("engine NOT IN ('second', 'columns') AND setting = 0")
+
+
 def school_territories(raw: DataFrame) -> DataFrame:
-    """doc_id, school_name, territory_text of two-column tables, by the better of the engines that read them."""
-    records = tables.best_per_page(tables.process_tables(raw).withColumn("_e", F.col("engine")).withColumn("doc_id", F.concat_ws("\u0001", "engine", "doc_id")))
+    """doc_id, school_name, territory_text and first of two-column tables, by the better of the engines that read them.
+
+    Documents whose tables give no school are read by the columns of their pages (rows of engine "columns").
+    """
+    records = tables.best_per_page(tables.process_tables(raw.where("engine <> 'columns'")).withColumn("doc_id", F.concat_ws("\u0001", "engine", "doc_id")))
     found = tables.meaningful(tables.dedupe_schools(tables.stitch_names(records)))
     found = found.select(F.substring_index("doc_id", "\u0001", 1).alias("engine"), F.substring_index("doc_id", "\u0001", -1).alias("doc_id"), "school_name", "territory_text", "first")
     count = lambda second: F.count_if((F.col("engine") == "second") == F.lit(second))
     chosen = tables.engine_choice(found.groupBy("doc_id").agg(count(False).alias("first"), count(True).alias("second"))).select("doc_id", (F.col("engine") == "second").alias("_second"))
-    return found.join(chosen, "doc_id").where((F.col("engine") == "second") == F.col("_second")).select("doc_id", "school_name", "territory_text", "first")
+    found = found.join(chosen, "doc_id").where((F.col("engine") == "second") == F.col("_second")).select("doc_id", "school_name", "territory_text", "first")
+    columns = raw.where("engine = 'columns'").select("doc_id", "page", F.get("cells", F.lit(0)).alias("left_text"), F.get("cells", F.lit(1)).alias("right_text"))
+    columns = tables.zip_columns(columns).join(chosen.select("doc_id"), "doc_id", "left_anti")
+    return found.unionByName(columns.select("doc_id", "school_name", "territory_text", F.struct("page", F.lit(0).alias("table_ix"), "record_ix").alias("first")))
 
 
 def two_column(raw: DataFrame, territory_replies: DataFrame) -> DataFrame:
     """Rules of a model about each school's territory (doc_id, school_name, content), and what the text has beyond them."""
     schools = school_territories(raw)
     keys = ["doc_id", "school_name"]
-    model = exploded(schools.select(*keys).join(territory_replies, keys), parse_territory("content"), "ord", "r", *keys)
+    model = exploded(schools.select(*keys).distinct().join(territory_replies, keys), parse_territory("content"), "ord", "r", *keys)
     model = model.select(*keys, "ord", "r.street", "r.house_rule_raw", F.struct("r.locality", "r.parity", "r.house_from", "r.house_to", "r.house_number", "r.comment").alias("more"))
     own = exploded(schools, T.territory_rules("territory_text"), "ord", "r", *keys)
     own = own.select(*keys, "ord", "r.street", "r.house_rule_raw", _null("struct<locality:string,parity:string,house_from:int,house_to:int,house_number:string,comment:string>").alias("more"))
@@ -119,7 +130,7 @@ def parse(texts: DataFrame, raw: DataFrame, replies: DataFrame, territory_replie
     return {"decrees": decrees, "rules": structured.unionByName(rest), "strategies": way, "errors": bad_replies(replies)}
 
 
-register(MULTI, tables.detect_multi_column, lambda raw, replies: multi_column(raw))
+register(MULTI, tables.detect_multi_column, lambda raw, replies: multi_column(by_tables(raw)))
 register(TWO, tables.detect_two_column, two_column)
 
 

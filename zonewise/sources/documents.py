@@ -1,7 +1,7 @@
 """Decree files as tables of text and of raw table rows.
 
 DOCX files are read with the standard library: a zip of XML parts. PDF files need
-a PDF library in the workers; where none is installed, their pages come as tables
+a PDF library in the workers, or an opener that the caller brings; where there is none, their pages come as tables
 from elsewhere (``schemas.RAW_TABLES``). Old DOC files are converted first.
 """
 
@@ -13,6 +13,7 @@ import subprocess
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import AbstractContextManager, nullcontext
 from pathlib import Path
 from xml.etree import ElementTree
 
@@ -63,19 +64,20 @@ def files(spark: SparkSession, path: str, pattern: str = "*.docx") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
+def docx_text(content: bytes) -> str:
+    """Paragraphs that aren't blank, then table rows with bars between cells."""
+    paragraphs, tables = docx_parts(content)
+    lines = [p.strip() for p in paragraphs if p.strip()]
+    return "\n".join([*lines, *(" | ".join(c.strip() for c in row) for table in tables for row in table if any(c.strip() for c in row))])
+
+
 def docx_texts(docx: DataFrame) -> DataFrame:
-    """doc_id and text: paragraphs that aren't blank, then table rows with bars between cells."""
+    """doc_id and text of DOCX files (path, content)."""
     ship(docx.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                paragraphs, tables = docx_parts(content)
-                lines = [p.strip() for p in paragraphs if p.strip()]
-                lines += [" | ".join(c.strip() for c in row) for table in tables for row in table if any(c.strip() for c in row)]
-                out.append((path, "\n".join(lines)))
-            yield pd.DataFrame(out, columns=["doc_id", "text"])
+            yield pd.DataFrame({"doc_id": frame["path"], "text": [docx_text(content) for content in frame["content"]]})
 
     return docx.mapInPandas(run, "doc_id string, text string")
 
@@ -95,24 +97,119 @@ def docx_tables(docx: DataFrame) -> DataFrame:
     return docx.mapInPandas(run, RAW_TABLES)
 
 
-def pdf_pages(pdf: DataFrame) -> DataFrame:
-    """doc_id, page and text of PDF files (path, content); needs pdfplumber in the workers."""
+#: Settings with which a page's tables are looked for, in this order; the first are the library's own.
+TABLE_SETTINGS = ({}, *({"vertical_strategy": v, "horizontal_strategy": h, "snap_tolerance": 4} for v, h in (("lines", "lines"), ("text", "text"), ("lines", "text"))))
+#: Where the left column of a page without tables ends, and where the right one starts, as shares of its width.
+LEFT_END, RIGHT_START = 0.42, 0.38
+
+#: Opens a PDF file's bytes, as a context manager.
+Opener = Callable[[bytes], AbstractContextManager]
+
+
+def first_engine(content: bytes) -> AbstractContextManager:
+    try:
+        import pdfplumber
+    except ImportError as e:
+        raise RuntimeError("PDF files need pdfplumber; bring an opener, or give their pages as tables instead") from e
+    return pdfplumber.open(io.BytesIO(content))
+
+
+def second_engine(content: bytes) -> AbstractContextManager:
+    """Pages by PyMuPDF; none where it isn't installed."""
+    try:
+        import pymupdf
+    except ImportError:
+        return nullcontext(())
+    return pymupdf.open(stream=content, filetype="pdf")
+
+
+def _each_pdf(pdf: DataFrame, rows_of: Callable[[bytes], list[tuple]], schema: str) -> DataFrame:
+    """The rows of each PDF file (path, content), after its path."""
     ship(pdf.sparkSession)
+    names = [part.split()[0] for part in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            if len(frame):
-                try:
-                    import pdfplumber
-                except ImportError as e:
-                    raise RuntimeError("PDF files need pdfplumber; give their pages as tables instead") from e
             for path, content in zip(frame["path"], frame["content"], strict=True):
-                with pdfplumber.open(io.BytesIO(content)) as doc:
-                    out += [(path, k, page.extract_text() or "") for k, page in enumerate(doc.pages, 1)]
-            yield pd.DataFrame(out, columns=["doc_id", "page", "text"])
+                yield pd.DataFrame([(path, *row) for row in rows_of(content)], columns=names)
+
+    return pdf.mapInPandas(run, schema)
+
+
+def pdf_pages(pdf: DataFrame, opener: Opener = first_engine) -> DataFrame:
+    """doc_id, page and text of PDF files (path, content)."""
+
+    def rows_of(content: bytes) -> list[tuple]:
+        with opener(content) as doc:
+            return [(k, page.extract_text() or "") for k, page in enumerate(doc.pages, 1)]
+
+    return _each_pdf(pdf, rows_of, "doc_id string, page int, text string")
+
+
+def _table_rows(engine: str, setting: int, page: int, tables: list) -> list[tuple]:
+    return [(engine, setting, page, t, i, [c or "" for c in cells]) for t, table in enumerate(tables or ()) for i, cells in enumerate(table or ())]
+
+
+def pdf_tables(pdf: DataFrame, opener: Opener = first_engine) -> DataFrame:
+    """Raw table rows of PDF files (path, content), of each page by each of TABLE_SETTINGS.
+
+    A setting that fails on a page gives none of its rows there.
+    """
+
+    def rows_of(content: bytes) -> list[tuple]:
+        out = []
+        with opener(content) as doc:
+            for k, page in enumerate(doc.pages, 1):
+                for n, setting in enumerate(TABLE_SETTINGS):
+                    try:
+                        found = page.extract_tables(table_settings=setting) if setting else page.extract_tables()
+                    except Exception:
+                        continue
+                    out += _table_rows("first", n, k, found)
+        return out
 
-    return pdf.mapInPandas(run, "doc_id string, page int, text string")
+    return _each_pdf(pdf, rows_of, RAW_TABLES)
+
+
+def pdf_second_tables(pdf: DataFrame, opener: Opener = second_engine) -> DataFrame:
+    """Raw table rows of PDF files (path, content) by the second engine; files, pages and tables that it can't read give none."""
+
+    def rows_of(content: bytes) -> list[tuple]:
+        out = []
+        try:
+            opened = opener(content)
+        except Exception:
+            return out
+        with opened as doc:
+            for k, page in enumerate(doc, 1):
+                try:
+                    found = page.find_tables()
+                except Exception:
+                    continue
+                read = []
+                for table in getattr(found, "tables", None) or list(found):
+                    try:
+                        read.append(table.extract())
+                    except Exception:
+                        read.append([])
+                out += _table_rows("second", 0, k, read)
+        return out
+
+    return _each_pdf(pdf, rows_of, RAW_TABLES)
+
+
+def pdf_columns(pdf: DataFrame, opener: Opener = first_engine) -> DataFrame:
+    """The texts of each page's left and right column as one raw row of engine "columns"."""
+
+    def rows_of(content: bytes) -> list[tuple]:
+        out = []
+        with opener(content) as doc:
+            for k, page in enumerate(doc.pages, 1):
+                halves = ((0, 0, page.width * LEFT_END, page.height), (page.width * RIGHT_START, 0, page.width, page.height))
+                out.append(("columns", 0, k, 0, 0, [page.crop(box).extract_text() or "" for box in halves]))
+        return out
+
+    return _each_pdf(pdf, rows_of, RAW_TABLES)
 
 
 def join_pages(pages: DataFrame) -> DataFrame:
@@ -121,34 +218,62 @@ def join_pages(pages: DataFrame) -> DataFrame:
     return kept.select("doc_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"))
 
 
+def _office(content: bytes, timeout: int) -> bytes | None:
+    """DOCX content of a DOC file by LibreOffice; None where the worker has none, or it fails or takes too long."""
+    if not (office := shutil.which("soffice")):
+        return None
+    with tempfile.TemporaryDirectory() as folder:  # scratch of one conversion, gone with it
+        source = Path(folder) / "in.doc"
+        source.write_bytes(content)
+        try:
+            subprocess.run([office, "--headless", "--convert-to", "docx", "--outdir", folder, str(source)], capture_output=True, timeout=timeout, check=True)
+        except (subprocess.CalledProcessError, subprocess.TimeoutExpired):
+            return None
+        return next((p.read_bytes() for p in Path(folder).glob("*.docx")), None)
+
+
+def _textutil(content: bytes, timeout: int) -> str | None:
+    """Text of a DOC file by the converter that macOS brings; None where there is none or it fails."""
+    if not (tool := shutil.which("textutil")):
+        return None
+    with tempfile.NamedTemporaryFile(suffix=".doc") as source:
+        source.write(content)
+        source.flush()
+        try:
+            return subprocess.run([tool, "-convert", "txt", "-stdout", source.name], capture_output=True, timeout=timeout, check=True).stdout.decode()
+        except (subprocess.CalledProcessError, subprocess.TimeoutExpired):
+            return None
+
+
 def convert_doc(doc: DataFrame, timeout: int = 180) -> DataFrame:
     """DOC files (path, content) as DOCX content, by LibreOffice where the workers have it; null content where it fails."""
     ship(doc.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        office = shutil.which("soffice")
         for frame in frames:
-            out = []
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                made = None
-                with tempfile.TemporaryDirectory() as folder:  # scratch of one conversion, gone with it
-                    source = Path(folder) / "in.doc"
-                    source.write_bytes(content)
-                    if office and subprocess.run([office, "--headless", "--convert-to", "docx", "--outdir", folder, str(source)], capture_output=True, timeout=timeout, check=False).returncode == 0:
-                        made = next((p.read_bytes() for p in Path(folder).glob("*.docx")), None)
-                out.append((path, made))
-            yield pd.DataFrame(out, columns=["path", "content"])
+            yield pd.DataFrame([(path, _office(content, timeout)) for path, content in zip(frame["path"], frame["content"], strict=True)], columns=["path", "content"])
 
     return doc.mapInPandas(run, "path string, content binary")
 
 
-def _converted(doc: DataFrame) -> DataFrame:
-    made = convert_doc(doc)
-    return docx_texts(made.where("content IS NOT NULL")).withColumn("error", F.lit(None).cast("string")).unionByName(made.where("content IS NULL").select(F.col("path").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit("conversion failed").alias("error")))
+def doc_texts(doc: DataFrame, timeout: int = 180) -> DataFrame:
+    """doc_id, text and error of DOC files (path, content): by LibreOffice, else by textutil; each file is converted once."""
+    ship(doc.sparkSession)
+
+    def text_of(content: bytes) -> str | None:
+        made = _office(content, timeout)
+        return docx_text(made) if made else _textutil(content, timeout)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts = [text_of(content) for content in frame["content"]]
+            yield pd.DataFrame({"doc_id": frame["path"], "text": texts, "error": [None if t is not None else "conversion failed" for t in texts]}, dtype=object)
+
+    return doc.mapInPandas(run, "doc_id string, text string, error string")
 
 
 #: Readers by suffix: files (path, content) to doc_id and text, and error where one can tell. More can be added.
-READERS: dict[str, Callable[[DataFrame], DataFrame]] = {".docx": docx_texts, ".doc": _converted, ".pdf": lambda pdf: join_pages(pdf_pages(pdf))}
+READERS: dict[str, Callable[[DataFrame], DataFrame]] = {".docx": docx_texts, ".doc": doc_texts, ".pdf": lambda pdf: join_pages(pdf_pages(pdf))}
 
 
 def texts_of(files: DataFrame) -> DataFrame:
@@ -163,6 +288,19 @@ def texts_of(files: DataFrame) -> DataFrame:
     return out
 
 
+def _of(files: DataFrame, suffix: str) -> DataFrame:
+    return files.where(F.lower("path").endswith(suffix)).select("path", "content")
+
+
+def tables_of(files: DataFrame, first: Opener = first_engine, second: Opener = second_engine) -> DataFrame:
+    """Raw table rows of DOCX, DOC and PDF files (path, content); of PDF files by both engines and by columns. Others give none."""
+    pdf, old = _of(files, ".pdf"), convert_doc(_of(files, ".doc")).where("content IS NOT NULL")
+    out = docx_tables(_of(files, ".docx").unionByName(old))
+    for rows in (pdf_tables(pdf, first), pdf_second_tables(pdf, second), pdf_columns(pdf, first)):
+        out = out.unionByName(rows)
+    return out
+
+
 def route_text(texts: DataFrame, enough: int = 500) -> DataFrame:
     """native text where it is long enough, else the OCR text (doc_id, native, ocr)."""
     return texts.select("doc_id", F.when(F.length(F.trim("native")) >= enough, F.col("native")).otherwise(F.col("ocr")).alias("text"))
