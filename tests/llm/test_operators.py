@@ -446,7 +446,7 @@ def test_find(docs):
 
 
 def test_field_hold_out():
-    field = pii.trained()
+    field = pii.stored()
     hit = wrong = missed = 0
     for text, spans in pii.samples(300, seed=99):
         got = set(field.best(text, [m.span() for m in pii.WORD.finditer(text)]))
@@ -457,11 +457,11 @@ def test_field_hold_out():
 def test_field_parts_neighbours():
     text = "call +1 (269) 555-3296 4524132264652876 or mail"
     assert pii.base_spans(text) == []
-    assert [(k, text[a:b]) for k, a, b in pii.all_spans(text, pii.trained())[1]] == [("card", "4524132264652876"), ("phone", "+1 (269) 555-3296")]
+    assert [(k, text[a:b]) for k, a, b in pii.all_spans(text, pii.stored())[1]] == [("card", "4524132264652876"), ("phone", "+1 (269) 555-3296")]
 
 
 def test_spelled_addresses_and_short_passwords():
-    field = pii.trained()
+    field = pii.stored()
     for text, want in {
         "mail me at john dot doe at example dot com today": ["john dot doe at example dot com"],
         "reach jane_roe [at] mail [dot] org. Or not": ["jane_roe [at] mail [dot] org"],
@@ -474,7 +474,7 @@ def test_spelled_addresses_and_short_passwords():
 
 def test_best_equals_every_segmentation():
     """Viterbi against all ways to cut a short text, and the partition sum against their total."""
-    field = pii.trained()
+    field = pii.stored()
 
     def walk(rows, at, n):
         if at == n:
@@ -503,8 +503,8 @@ def test_best_equals_every_segmentation():
 def test_field_on_long_stretches():
     unit = "+1 (269) 555-3296 4524132264652876 "
     text = unit * 300
-    assert Counter(k for k, _, _ in pii.all_spans(text, pii.trained())[1]) == {"phone": 300, "card": 300}
-    assert pii.all_spans("9" * 300_000, pii.trained()) == ([], [])
+    assert Counter(k for k, _, _ in pii.all_spans(text, pii.stored())[1]) == {"phone": 300, "card": 300}
+    assert pii.all_spans("9" * 300_000, pii.stored()) == ([], [])
 
 
 # near duplicates

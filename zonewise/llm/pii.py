@@ -8,7 +8,9 @@ fixed patterns always stay; the field's spans are added where they overlap none.
 
 The field is trained here, on sentences made by ``samples`` from a fixed seed:
 entities of all kinds between filler words, and numbers that are none. Training
-maximises the conditional log-likelihood by forward-backward over segments.
+maximises the conditional log-likelihood by forward-backward over segments. Its
+weights are kept in ``field.json``, which ``python -m zonewise.llm.pii`` writes; the
+driver reads them and sends them to the workers.
 
 Only words near a digit or an at-sign can hold an entity, so the rest of a text
 is skipped in linear time; the fixed patterns are linear too, also on long runs
@@ -23,10 +25,11 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
-import math
+import json
 import random
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -372,6 +375,29 @@ def trained(n: int = 700, seed: int = 7) -> Field:
     return Field().train(samples(n, seed))
 
 
+WEIGHTS = Path(__file__).with_name("field.json")
+#: Digits after the point of a stored weight.
+DIGITS = 3
+
+
+def store(field: Field, path: Path = WEIGHTS) -> None:
+    """Write the field: the moves, then one line a feature with its weight of each label. Features whose weights round to nothing are left out."""
+    rows = {name: [round(float(x), DIGITS) + 0.0 for x in w] for name, w in sorted(field.weights.items())}
+    lines = [json.dumps(["", [[round(float(x), DIGITS) + 0.0 for x in row] for row in field.moves]])]
+    lines += [json.dumps([name, row], ensure_ascii=False, separators=(",", ":")) for name, row in rows.items() if any(row)]
+    path.write_text("[\n" + ",\n".join(lines) + "\n]\n", encoding="utf-8")
+
+
+@functools.lru_cache(maxsize=2)
+def stored(path: Path = WEIGHTS) -> Field:
+    """The field as ``store`` wrote it."""
+    field = Field()
+    (_, moves), *rows = json.loads(path.read_text(encoding="utf-8"))
+    field.moves = np.array(moves)
+    field.weights = {name: np.array(row) for name, row in rows}
+    return field
+
+
 #: Words read on either side of one that may start an entity.
 MARGIN = 3
 #: Words decoded at once.
@@ -459,7 +485,7 @@ def written(spans: list[Span]) -> str:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, counts and digest of the fixed patterns' spans, and all spans as kind:start:end."""
-    field = docs.sparkSession.sparkContext.broadcast(trained())
+    field = docs.sparkSession.sparkContext.broadcast(stored())
     names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -485,7 +511,7 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with personal data replaced by its kind; n_chars, where there is one, follows a changed text."""
-    field = docs.sparkSession.sparkContext.broadcast(trained())
+    field = docs.sparkSession.sparkContext.broadcast(stored())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -498,3 +524,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return map_batches(docs, run, docs.schema)
+
+
+if __name__ == "__main__":
+    store(trained())
