@@ -51,4 +51,39 @@ SELECT conv_id, turn, role, turn AS anchor, 0 AS depth, 0::BIGINT AS n_calls, co
 FROM c
 """
 
-ORACLES = {"op1_mix": OP1, "op2_chat_format": OP2, "op10_decontaminate": OP10}
+#: The conversations that ``queries.with_tools`` makes: links, cycles and the order's keys over all paths.
+TOOL_CALLS = """
+WITH RECURSIVE m AS (SELECT conv_id, turn, text, role AS was, CASE WHEN role = 'user' AND turn > 0 THEN 'tool' ELSE role END AS role,
+  coalesce(role = 'assistant', false) AS is_call, coalesce(role = 'user' AND turn > 0, false) AS is_result,
+  CASE WHEN conv_id % 5 = 2 THEN 'c' ELSE 'c' || (CASE WHEN role = 'assistant' THEN turn WHEN conv_id % 6 = 0 THEN turn + 1 ELSE turn - 1 END) END AS id,
+  CASE WHEN conv_id % 5 <> 3 THEN text || CASE WHEN conv_id % 5 = 4 THEN ' ${c' || (turn - 2) || '}' ELSE '' END || CASE WHEN conv_id % 11 = 3 THEN ' ${c' || turn || '}' ELSE '' END END AS query,
+  CASE WHEN conv_id % 5 = 0 THEN 0 ELSE turn + 1 END AS lim FROM conversations),
+owner AS (SELECT conv_id, id, min(turn) AS turn FROM m WHERE is_call GROUP BY ALL),
+answer AS (SELECT conv_id, id, min(turn) AS turn FROM m WHERE is_result GROUP BY ALL),
+asked AS (SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(query, '\\$\\{([^}]+)\\}', 1))) AS id FROM m WHERE is_call),
+e AS (SELECT m.conv_id, o.turn AS b, m.turn AS a FROM m JOIN owner o USING (conv_id, id) WHERE is_result
+  UNION SELECT s.conv_id, w.turn, s.turn FROM asked s JOIN answer w USING (conv_id, id)),
+reach AS (SELECT conv_id, b, a FROM e UNION SELECT r.conv_id, r.b, e.a FROM reach r JOIN e ON e.conv_id = r.conv_id AND e.b = r.a),
+cyc AS (SELECT DISTINCT r.conv_id, r.a AS turn FROM reach r JOIN reach s ON s.conv_id = r.conv_id AND s.b = s.a AND s.a = r.b),
+free AS (SELECT conv_id, turn FROM m ANTI JOIN cyc USING (conv_id, turn)),
+path AS (SELECT conv_id, turn, turn AS anchor, 0 AS depth FROM free
+  UNION SELECT p.conv_id, f.turn, greatest(f.turn, p.anchor), CASE WHEN f.turn > p.anchor THEN 0 ELSE p.depth + 1 END
+  FROM path p JOIN e ON e.conv_id = p.conv_id AND e.b = p.turn JOIN free f ON f.conv_id = e.conv_id AND f.turn = e.a),
+best AS (SELECT conv_id, turn, max({'a': anchor, 'd': depth}) AS k FROM path GROUP BY ALL),
+n AS (SELECT m.*, o.turn AS first_turn, w.turn AS answered, c.turn IS NOT NULL AS cyclic FROM m LEFT JOIN owner o USING (conv_id, id) LEFT JOIN answer w USING (conv_id, id) LEFT JOIN cyc c ON c.conv_id = m.conv_id AND c.turn = m.turn),
+s AS (SELECT *, list_sort(list_filter([
+    CASE WHEN is_call AND conv_id % 5 = 1 THEN id || ':unknown_tool' END,
+    CASE WHEN is_call AND conv_id % 5 <> 1 AND query IS NULL THEN id || ':missing:query' END,
+    CASE WHEN is_call AND conv_id % 5 <> 1 AND lim < 1 THEN id || ':range:limit' END,
+    CASE WHEN is_call AND first_turn <> turn THEN id || ':duplicate_id' WHEN is_call AND answered IS NULL THEN id || ':unanswered' END,
+    CASE WHEN is_result AND first_turn IS NULL THEN id || ':unlinked' END], lambda x: x IS NOT NULL)) AS found FROM n)
+SELECT conv_id, turn, role, coalesce(k.a, turn) AS anchor, coalesce(k.d, 0)::INT AS depth, is_call::BIGINT AS n_calls,
+  array_to_string(CASE WHEN cyclic THEN found || ['cyclic'] ELSE found END, ',') AS status,
+  CASE WHEN is_call THEN '{"role":"assistant","tool_calls":[{"arguments":{"limit":' || lim || CASE WHEN query IS NULL THEN '' ELSE ',"query":' || to_json(query)::VARCHAR END
+      || '},"id":' || to_json(id)::VARCHAR || ',"name":"' || CASE WHEN conv_id % 5 = 1 THEN 'lookup' ELSE 'search' END || '"}]}'
+    WHEN is_result THEN '{' || CASE WHEN text IS NULL THEN '' ELSE '"content":' || to_json(text)::VARCHAR || ',' END || '"role":"tool","tool_call_id":' || to_json(id)::VARCHAR || '}'
+    ELSE '{' || CASE WHEN text IS NULL THEN '' ELSE '"content":' || to_json(text)::VARCHAR END || CASE WHEN text IS NULL OR role IS NULL THEN '' ELSE ',' END || CASE WHEN role IS NULL THEN '' ELSE '"role":' || to_json(role)::VARCHAR END || '}' END AS json
+FROM s LEFT JOIN best USING (conv_id, turn)
+"""
+
+ORACLES = {"op1_mix": OP1, "op2_chat_format": OP2, "chat_tool_calls": TOOL_CALLS, "op10_decontaminate": OP10}
