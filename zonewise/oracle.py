@@ -282,3 +282,22 @@ f AS (SELECT doc_id, rn, record_ix, name, text FROM r WHERE rn = 1
   UNION ALL SELECT doc_id, rn, CASE WHEN joins THEN old_ix ELSE record_ix END, CASE WHEN joins THEN old_name || ' ' || name ELSE name END, CASE WHEN NOT joins OR old_text = '' THEN text WHEN text = '' THEN old_text ELSE old_text || ' ' || text END
   FROM (SELECT r.*, f.record_ix AS old_ix, f.name AS old_name, f.text AS old_text, NOT contains(f.name, '»') AND (starts_with(r.name, 'Городск') OR starts_with(r.name, '«')) AS joins FROM f JOIN r ON f.doc_id = r.doc_id AND r.rn = f.rn + 1))
 SELECT doc_id, 1::INT AS page, 1::INT AS table_ix, record_ix, arg_max(name, rn) AS school_name, arg_max(text, rn) AS territory_text FROM f GROUP BY doc_id, record_ix""")
+
+#: Saving: towns, decrees, schools and rules get ids after the stored ones, in a stated order.
+SAVED = f"""{BUILT},
+docs AS (SELECT id::VARCHAR AS doc_id, CASE id % 3 WHEN 0 THEN name WHEN 1 THEN 'новый ' || name ELSE 'Неизвестный муниципалитет' END AS municipality FROM municipalities),
+towns AS (SELECT name, (SELECT max(id) FROM municipalities) + row_number() OVER (ORDER BY name) AS id FROM (SELECT DISTINCT municipality AS name FROM docs) ANTI JOIN municipalities USING (name)),
+all_towns AS (SELECT name, min(id) AS town_id FROM (SELECT name, id FROM municipalities UNION ALL SELECT name, id FROM towns) GROUP BY name),
+new_decrees AS (SELECT doc_id, municipality, town_id, (SELECT max(id) FROM decrees) + row_number() OVER (ORDER BY doc_id) AS decree_id FROM docs JOIN all_towns ON name = municipality),
+parsed AS (SELECT raw.id, doc_id, town_id, d.decree_id, s.name AS school FROM raw JOIN schools s ON s.id = raw.school_id JOIN new_decrees d ON doc_id = s.municipality_id::VARCHAR),
+fresh AS (SELECT town_id, school, (SELECT max(id) FROM schools) + row_number() OVER (ORDER BY town_id, school) AS id FROM (SELECT DISTINCT town_id, school FROM parsed) ANTI JOIN (SELECT municipality_id AS town_id, name AS school FROM schools) USING (town_id, school)),
+all_schools AS (SELECT town_id, school, min(id) AS sid FROM (SELECT municipality_id AS town_id, name AS school, id FROM schools UNION ALL SELECT town_id, school, id FROM fresh) GROUP BY ALL),
+saved AS (SELECT (SELECT max(id) FROM rules) + row_number() OVER (ORDER BY p.doc_id, p.id) AS id, p.doc_id, sid AS school_id, p.decree_id, b.* EXCLUDE (id, school_id, decree_id), {street('b.street')} AS normalized_street FROM built b JOIN parsed p USING (id) JOIN all_schools USING (town_id, school)),
+g AS (SELECT DISTINCT p_name AS q, 'г X, ' || p_name AS value, CASE WHEN len(p_name) % 3 = 1 THEN CASE WHEN len(p_name) % 2 = 0 THEN 'ул ' || p_name ELSE p_name || ' новая' END END AS given FROM part WHERE len(p_name) % 3 <> 0)"""
+oracle("save_summary", f"""{SAVED} SELECT doc_id, municipality, decree_id, coalesce(schools_count, 0) AS schools_count, coalesce(rules_count, 0) AS rules_count FROM new_decrees
+LEFT JOIN (SELECT doc_id, count(*) AS schools_count FROM fresh JOIN (SELECT town_id, school, min(doc_id) AS doc_id FROM parsed GROUP BY ALL) USING (town_id, school) GROUP BY doc_id) USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS rules_count FROM saved GROUP BY doc_id) USING (doc_id)""")
+oracle("save_decree", f"""{SAVED} SELECT s.* EXCLUDE (doc_id), '' AS comment, g.value AS dadata_value, CASE WHEN given IS NULL THEN 'low' WHEN {street('given')} = normalized_street THEN 'high' ELSE 'medium' END AS dadata_confidence,
+CASE WHEN given IS NOT NULL AND {street('given')} = normalized_street THEN 'verified' ELSE 'needs_review' END AS validation_status,
+CASE WHEN q IS NULL THEN 'DaData не нашла подходящую улицу' WHEN given IS NULL THEN 'DaData нашла адрес, но не вернула улицу' WHEN {street('given')} = normalized_street THEN 'Улица подтверждена через DaData' ELSE 'DaData предлагает другое написание: ' || given END AS validation_comment
+FROM saved s LEFT JOIN g ON q = concat_ws(', ', nullif(s.locality, ''), s.street)""")
