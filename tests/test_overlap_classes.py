@@ -29,7 +29,7 @@ def joined_rows(df) -> int:
     return total
 
 
-@pytest.mark.parametrize("operator", [validate.intersections])
+@pytest.mark.parametrize("operator", [validate.intersections, validate.validate_rules])
 def test_a_pair_is_joined_once(spark, operator):
     rules = spark.createDataFrame([(i, i, None, "А", "все", None, None, None, "all") for i in range(200)], RULES)
     found = operator(rules, spark.createDataFrame([(i, f"s{i}") for i in range(200)], SCHOOLS))
