@@ -75,7 +75,28 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: For checkpoints in local folders: else Hadoop starts two ``chmod`` processes for each file, and each is a copy of the JVM for a moment.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
+@contextmanager
+def _plain_files(spark: SparkSession) -> Iterator[None]:
+    """Inside, checkpoints in local folders are written without checksum files; other stores, and plans made before, are untouched."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = {k: conf.get(k) for k in PLAIN_FILES}
+    for k, v in PLAIN_FILES.items():
+        conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it from there."""
     _checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=False)  # plans df and runs all but its last stage, by the session's own settings
+    with _plain_files(df.sparkSession):
+        out._jdf.queryExecution().logical().rdd().doCheckpoint()
+    return out
